@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def catalogue():
     """All registered queries by name."""
-    from switchyard.checks import data_checks  # noqa: F401
+    from switchyard.checks import data_checks, eval_checks  # noqa: F401
     from switchyard.checks.base import CHECKS
 
     return CHECKS

@@ -87,3 +87,8 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 def as_document(df: DataFrame, name: str = "document") -> DataFrame:
     """Each row as one JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+
+
+def write_documents(documents: DataFrame, root: str, column: str = "document") -> None:
+    """One file per document below ``root`` (result documents are few and small)."""
+    documents.select(F.col(column).alias("value")).write.option("maxRecordsPerFile", 1).text(root)
