@@ -92,16 +92,21 @@ def strip_label_prefixes(text: Column, prefixes: tuple[str, ...] = S.LABEL_PREFI
 
 
 def grams(tokens: Column, low: int, high: int) -> Column:
-    """Word n-grams of ``low`` to ``high`` tokens, joined by one blank."""
+    """Word n-grams of ``low`` to ``high`` tokens, joined by one blank.
 
-    def of_size(n: int) -> Column:
-        if n == 1:
-            return tokens
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        built = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        return F.when(F.size(tokens) >= n, built).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[of_size(n) for n in range(low, high + 1)])
+    Longer grams are shorter ones zipped with the tokens that follow.  ``tokens`` is used several
+    times, so pass a plain column, not an expression.
+    """
+    sizes = {1: tokens}
+    for n in range(2, high + 1):
+        left = F.size(tokens) - (n - 1)
+        joined = F.zip_with(
+            F.slice(sizes[n - 1], F.lit(1), left),
+            F.slice(tokens, F.lit(n), left),
+            lambda a, b: F.concat(a, F.lit(" "), b),
+        )
+        sizes[n] = F.when(left >= 1, joined).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[sizes[n] for n in range(low, high + 1)])
 
 
 def model_tokens(text: Column) -> Column:
@@ -109,17 +114,18 @@ def model_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
 
 
+def padded(words_: Column) -> Column:
+    """Every word with a blank on both sides."""
+    return F.transform(words_, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+
 def char_grams(word: Column, low: int, high: int) -> Column:
-    """All substrings of ``low`` to ``high`` characters of one blank-padded word."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    length = F.length(padded)
-    sizes = F.sequence(F.least(F.lit(low), length), F.least(F.lit(high), length))
-    return F.flatten(
-        F.transform(
-            sizes,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), length - n + 1),
-                lambda i: F.substr(padded, i, n),
-            ),
-        )
-    )
+    """All substrings of ``low`` to ``high`` characters of one padded word; a shorter word counts whole."""
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(word) - (n - 1))
+        cut = F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+        short = F.array(word) if n == low else F.array().cast("array<string>")
+        return F.when(F.length(word) >= n, cut).otherwise(short)
+
+    return F.concat(*[of_size(n) for n in range(low, high + 1)])

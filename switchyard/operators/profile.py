@@ -156,7 +156,8 @@ def example_coverage(keys: DataFrame, languages: DataFrame) -> DataFrame:
 def top_terms_per_class(df: DataFrame, tokens, k: int = 50, label: str = "label") -> DataFrame:
     """The ``k`` most frequent tokens of every class (ties by token)."""
     counted = (
-        df.select(label, F.explode(tokens).alias("term")).groupBy(label, "term").agg(F.count(F.lit(1)).alias("n"))
+        df.select(label, F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())
+        .groupBy(label, "term").agg(F.count(F.lit(1)).alias("n"))
     )
     rank = F.row_number().over(W.partitionBy(label).orderBy(F.col("n").desc(), F.col("term")))
     return counted.withColumn("rank", rank).where(F.col("rank") <= k)

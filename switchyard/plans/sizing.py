@@ -21,3 +21,13 @@ def broadcast_within(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFr
         return F.broadcast(kept)
     kept.unpersist()
     return small
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Cut a scan with fewer splits than cores into one part per core.
+
+    For small files ahead of CPU-heavy maps; a table with more splits than cores is returned as is.
+    Call it on a plain scan: counting its partitions only lists files.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
