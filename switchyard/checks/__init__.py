@@ -5,7 +5,9 @@ from __future__ import annotations
 
 def catalogue():
     """All registered queries by name."""
-    from switchyard.checks import data_checks, eval_checks, feature_checks  # noqa: F401
+    from switchyard.checks import (  # noqa: F401
+        data_checks, eval_checks, feature_checks, model_checks, stream_checks,
+    )
     from switchyard.checks.base import CHECKS
 
     return CHECKS

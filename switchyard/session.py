@@ -16,6 +16,9 @@ def build_session(master: str | None = None, app: str = "switchyard", **conf: ob
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Streaming state off the Java heap.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
@@ -35,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir"
     )
     if configured:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
