@@ -6,7 +6,7 @@ tables they are compared with are not, so those are always counted per cell firs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -30,6 +30,18 @@ def filter_cells(
     return df
 
 
+def default_plan(spark: SparkSession) -> DataFrame:
+    """The default fraction tree, one row per cell."""
+    rows = [
+        (language, industry, scenario, share, part, simple if scenario == S.SIMPLE else round(1 - simple, 2))
+        for language, (share, industries) in S.DEFAULT_PLAN.items()
+        for industry, (part, simple) in zip(S.INDUSTRIES, industries, strict=True)
+        for scenario in S.SCENARIOS
+    ]
+    fractions = "language_fraction double, industry_fraction double, scenario_fraction double"
+    return spark.createDataFrame(rows, f"language string, industry string, scenario string, {fractions}")
+
+
 def nest_plan(fractions: DataFrame) -> DataFrame:
     """Flat fractions to one row per language holding its industries, each holding its scenarios.
 

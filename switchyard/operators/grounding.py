@@ -27,9 +27,10 @@ def parse_caught(df: DataFrame, column: str = "caught") -> DataFrame:
 
 
 def catch_rates(df: DataFrame, category: str = "script") -> DataFrame:
-    """Total, caught and rate per category, plus a TOTAL row."""
-    rolled = df.rollup(category).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("caught")).alias("hit"), F.grouping(category).alias("_all")
+    """Total, caught and rate per category, plus a TOTAL row (added up from the category rows)."""
+    counted = df.groupBy(category).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("caught")).alias("hit"))
+    rolled = counted.rollup(category).agg(
+        F.sum("total").alias("total"), F.sum("hit").alias("hit"), F.grouping(category).alias("_all")
     )
     return rolled.select(
         F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(category)).alias(category),

@@ -19,8 +19,6 @@ from switchyard.plans.running import percentiles, running_totals
 # Fixed value: probabilities are clipped by the double epsilon before the logarithm.
 EPSILON = 2.220446049250313e-16
 
-TP, FP, FN, TN = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-
 
 def confusion(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """tp, fp, fn, tn per group; all four are always present."""
@@ -35,12 +33,9 @@ def confusion(df: DataFrame, by: Sequence[str] = (), weight: Column | None = Non
     )
 
 
-def quality(tp: Column = None, fp: Column = None, fn: Column = None, tn: Column = None) -> dict[str, Column]:
+def quality() -> dict[str, Column]:
     """Quality metrics as expressions over the four counts."""
-    tp, fp, fn, tn = (
-        c.cast("double") for c in (TP if tp is None else tp, FP if fp is None else fp,
-                                   FN if fn is None else fn, TN if tn is None else tn)
-    )
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     f1_1 = ratio(2 * tp, 2 * tp + fp + fn)
     f1_0 = ratio(2 * tn, 2 * tn + fp + fn)
     # Only classes seen in labels or predictions enter the macro mean.
@@ -58,7 +53,8 @@ def quality(tp: Column = None, fp: Column = None, fn: Column = None, tn: Column
 
 
 def accuracy() -> Column:
-    return ratio(TP + TN, TP + FP + FN + TN)
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return ratio(tp + tn, tp + fp + fn + tn)
 
 
 def with_quality(counts: DataFrame) -> DataFrame:

@@ -90,3 +90,23 @@ LENGTH_PROFILE = {
     SIMPLE: ((1, 2, 0.10), (3, 8, 0.36), (9, 20, 0.39), (21, 40, 0.15)),
     PROXIMITY: ((3, 10, 0.45), (11, 25, 0.40), (26, 45, 0.15)),
 }
+
+# The default plan.  Per language its share, then per industry (in the order of
+# INDUSTRIES) the industry's share of the language and the simple scenario's share of the industry.
+DEFAULT_PLAN = {
+    "pure_english": (0.60, (
+        (0.12, 0.84), (0.12, 0.82), (0.20, 0.85), (0.12, 0.85), (0.13, 0.83), (0.06, 0.82), (0.15, 0.82), (0.10, 0.83),
+    )),
+    "singlish_light": (0.20, (
+        (0.22, 0.60), (0.17, 0.58), (0.17, 0.62), (0.04, 0.65), (0.12, 0.62), (0.11, 0.55), (0.10, 0.58), (0.07, 0.60),
+    )),
+    "singlish_heavy": (0.10, (
+        (0.25, 0.60), (0.18, 0.58), (0.17, 0.62), (0.04, 0.65), (0.13, 0.62), (0.10, 0.55), (0.08, 0.58), (0.05, 0.60),
+    )),
+    "tanglish_light": (0.07, (
+        (0.16, 0.60), (0.18, 0.58), (0.18, 0.62), (0.09, 0.65), (0.14, 0.62), (0.11, 0.55), (0.05, 0.58), (0.09, 0.60),
+    )),
+    "tanglish_heavy": (0.03, (
+        (0.17, 0.60), (0.20, 0.58), (0.18, 0.62), (0.09, 0.65), (0.13, 0.62), (0.10, 0.55), (0.05, 0.58), (0.08, 0.60),
+    )),
+}
