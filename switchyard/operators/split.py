@@ -32,7 +32,7 @@ def stratified_split(
     strata: Sequence[str] = ("label", "scenario"),
     row_id: str = "doc_id",
     seed: int = 42,
-    prefix: int = 3,
+    prefix: int = 4,
 ) -> DataFrame:
     """Exact 80/10/10 inside every stratum, by rank of a seeded hash.
 
@@ -66,8 +66,9 @@ def stratified_split(
     placed = keyed.join(broadcast_within(edge), [*strata, "_prefix"]).withColumn(
         "_rank", F.col("_before") + F.row_number().over(inside)
     )
+    placed = placed.where((F.col("_rank") == F.col("_train")) | (F.col("_rank") == F.col("_val")))
     at = F.struct("_key", "_id")
-    cuts = placed.groupBy(*strata).agg(
+    cuts = placed.groupBy(*strata).agg(  # at most two rows per stratum
         F.max(F.when(F.col("_rank") == F.col("_train"), at)).alias("_train_cut"),
         F.max(F.when(F.col("_rank") == F.col("_val"), at)).alias("_val_cut"),
     )
