@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from switchyard.llm import exact_dedup
+from switchyard.llm import exact_dedup, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +26,50 @@ r AS (
   FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM r"""
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
-ORACLES = {"op1_exact_dedup": OP1_SQL}
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+#: Targets by repeated resharing are solved through the level at which sources stop; seats are listed and ranked one by one.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+tot AS (SELECT sum(size) AS words, greatest(1, ceil(sum(size) / 500000.0)) AS shards FROM d),
+p AS (SELECT d.*, CAST('0x' || substr(h, 1, 8) AS BIGINT) % CAST(shards AS BIGINT) AS shard FROM d, tot),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rnk
+  FROM p GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][1 + (rnk - 1) % 3] AS wt, source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0))
+            / (sum(wt) OVER () - coalesce(sum(wt) OVER b, 0)) AS lvl
+  FROM w WINDOW b AS (ORDER BY cap / wt, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, least(cap, wt * (SELECT min_by(lvl, cap / wt) FROM l WHERE lvl <= cap / wt)) AS target FROM l),
+seat AS (
+  SELECT rnk, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rnk) AS nth
+  FROM (SELECT rnk, target, unnest(range(CAST(ceil(target / 32.0) AS BIGINT) + 30)) AS k FROM g)),
+n AS (
+  SELECT rnk, count(*) AS seats FROM seat
+  WHERE nth <= (SELECT CAST(round(sum(target) / 32.0) AS BIGINT) FROM g) GROUP BY rnk),
+c AS (SELECT g.rnk, p.shard, sum(p.size) AS cell FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source GROUP BY ALL),
+cseat AS (
+  SELECT rnk, shard, row_number() OVER (PARTITION BY rnk ORDER BY cell / (2.0 * k + 1) DESC, shard) AS nth
+  FROM (SELECT rnk, shard, cell, unnest(range(CAST(cell / 16.0 AS BIGINT) + 30)) AS k FROM c)),
+q AS (
+  SELECT c.rnk, c.shard, any_value(c.cell) AS cell, count(x.nth) AS quota
+  FROM c LEFT JOIN (SELECT cseat.* FROM cseat JOIN n USING (rnk) WHERE nth <= seats) x ON x.rnk = c.rnk AND x.shard = c.shard
+  GROUP BY ALL),
+o AS (
+  SELECT p.doc_id, p.size, g.source_size, g.target, least(q.quota * 32, 2 * q.cell) AS quota, q.cell,
+         sum(p.size) OVER (PARTITION BY g.rnk, p.shard ORDER BY p.h, p.doc_id, p.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source JOIN q ON q.rnk = g.rnk AND q.shard = p.shard)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN cell = 0 THEN 0 ELSE size * (quota // cell)
+            + greatest(0, least(upto, quota % cell) - upto + size) END AS BIGINT) AS taken FROM o"""
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op3_mix_sources": op3_mix_sources,
+}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}
