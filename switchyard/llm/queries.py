@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from switchyard.llm import exact_dedup, mixing
+from switchyard.llm import bpe, exact_dedup, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,18 @@ SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN cell = 0 THEN 0 ELSE size * (quota // cell)
             + greatest(0, least(upto, quota % cell) - upto + size) END AS BIGINT) AS taken FROM o"""
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), ids=False)
+
+
 QUERIES = {
+    "op9_bpe": op9_bpe,
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
 }
