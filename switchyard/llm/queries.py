@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from switchyard.llm import bpe, exact_dedup, mixing, pii
+from switchyard.llm import bpe, exact_dedup, mixing, pii, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_secrets": op7_secrets,
     "op5_pii": op5_pii,
     "op9_bpe": op9_bpe,
     "op1_exact_dedup": op1_exact_dedup,
