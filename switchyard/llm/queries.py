@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from switchyard.llm import bpe, exact_dedup, mixing, pii, secret_scan
+from switchyard.llm import bpe, exact_dedup, mixing, pii, secret_scan, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,11 +86,36 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+#: The shortest prefix that fits, from the totals of every prefix of every length up to 24 bits.
+OP10_SQL = """
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes FROM documents),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bytes) AS nth FROM d),
+h AS (
+  SELECT *, CAST(concat(chr(48), chr(120), substr(md5(coalesce(CAST(doc_id AS VARCHAR), $$null$$)
+         || CASE WHEN nth > 1 THEN $$#$$ || nth ELSE $$$$ END), 1, 15)) AS BIGINT) AS bits FROM n),
+p AS (SELECT h.*, k.depth, bits >> (60 - k.depth) AS bucket FROM h, (SELECT unnest(range(25)) AS depth) k),
+t AS (
+  SELECT *, sum(bytes) OVER (PARTITION BY depth, bucket) AS shard_bytes, count(*) OVER (PARTITION BY depth, bucket) AS shard_rows
+  FROM p),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, nth ORDER BY depth) AS pick FROM t WHERE shard_bytes <= 16777216)
+SELECT doc_id, nth, bytes, CASE WHEN depth = 0 THEN $$*$$ ELSE right(lpad(bin(bucket), 24, $$0$$), CAST(depth AS INT)) END AS shard,
+       CAST(depth AS INTEGER) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows, false AS oversize
+FROM f WHERE pick = 1"""
+
+
 QUERIES = {
+    "op10_sharding": op10_sharding,
     "op7_secrets": op7_secrets,
     "op5_pii": op5_pii,
     "op9_bpe": op9_bpe,
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}
+ORACLES = {"op10_sharding": OP10_SQL, "op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}
