@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from switchyard.llm import bpe, chat, exact_dedup, mixing, pii, secret_scan, sharding
+from switchyard.llm import bpe, chat, exact_dedup, langid, mixing, pii, secret_scan, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,7 +137,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(said, $$$$ ORDER BY turn,
 FROM e GROUP BY conv_id"""
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 QUERIES = {
+    "op4_langid": op4_langid,
     "op6_chat": op6_chat,
     "op10_sharding": op10_sharding,
     "op7_secrets": op7_secrets,
