@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from switchyard.llm import bpe, chat, exact_dedup, langid, mixing, pii, secret_scan, sharding
+from switchyard.llm import bpe, chat, embedding_dedup, exact_dedup, langid, mixing, pii, secret_scan, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,7 +142,29 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       e.vec_id = coalesce(component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+
 QUERIES = {
+    "op8_embeddings": op8_embeddings,
     "op4_langid": op4_langid,
     "op6_chat": op6_chat,
     "op10_sharding": op10_sharding,
@@ -152,4 +174,4 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
 }
-ORACLES = {"op6_chat": OP6_SQL, "op10_sharding": OP10_SQL, "op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}
+ORACLES = {"op8_embeddings": OP8_SQL, "op6_chat": OP6_SQL, "op10_sharding": OP10_SQL, "op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}
