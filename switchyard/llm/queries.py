@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from switchyard.llm import bpe, chat, embedding_dedup, exact_dedup, langid, mixing, pii, secret_scan, sharding
+from switchyard.llm import bpe, chat, embedding_dedup, exact_dedup, langid, mixing, ngram_join, pii, secret_scan, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,7 +163,12 @@ SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(compo
 FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op8_embeddings": op8_embeddings,
     "op4_langid": op4_langid,
     "op6_chat": op6_chat,
