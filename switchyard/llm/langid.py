@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from switchyard.llm.common import arrow_pass, narrow
 
 SAMPLE = 500
-DIMENSIONS = 1 << 14
+DIMENSIONS = 1 << 13
 ORDERS = 4
 RIDGE = 0.02
 #: Margins grow by this before they become scores.
@@ -80,7 +80,7 @@ def columns_of(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.nda
     mixed, found = np.zeros(len(code), np.uint32), []
     for order in range(ORDERS):
         mixed = (mixed * np.uint32(0x01000193)) ^ (np.append(code[order:], np.full(order, BLANK, np.uint32)) + np.uint32(order << 9))
-        index = ((mixed * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int32)
+        index = ((mixed * np.uint32(0x9E3779B1)) >> np.uint32(32 - DIMENSIONS.bit_length() + 1)).astype(np.int32)
         index[dead] = 0
         found.append(index)
     letters = np.add.reduceat((~blank).astype(np.int64), starts) if len(texts) else np.zeros(0, np.int64)
@@ -95,20 +95,20 @@ def features(text: bytes) -> np.ndarray:
     return row / max(1, int(letters[0]))
 
 
-def train_svm(rows: np.ndarray, sign: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Weights and bias of a squared-hinge SVM; the support set is updated until it is stable."""
-    kernel = (rows @ rows.T).astype(np.float64) + 1.0  # the bias is a constant feature
+def train_svm(kernel: np.ndarray, sign: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Dual weights of a squared-hinge SVM; the support set is updated until it is stable."""
     scale = ridge * float(np.mean(np.diag(kernel)))
     support, beta = np.ones(len(sign), bool), np.zeros(len(sign))
     for _ in range(30):
         beta[:] = 0
-        inner = kernel[np.ix_(support, support)] + scale * np.eye(int(support.sum()))
-        beta[support] = np.linalg.solve(inner, sign[support].astype(np.float64))
+        inner = kernel[np.ix_(support, support)]
+        inner[np.diag_indices_from(inner)] += scale
+        beta[support] = np.linalg.solve(inner, sign[support])
         now = sign * (kernel @ beta) < 1
         if (now == support).all() or not now.any():
             break
         support = now
-    return (rows.T @ beta.astype(np.float32)).astype(np.float32), float(beta.sum())
+    return beta
 
 
 @dataclass
@@ -196,32 +196,39 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     taught = plain.join(chosen, ["doc_id", "lang"], "left_semi")
     found = arrow_pass(taught, rows_of, "doc_id long, lang string, at binary, value binary").collect()
-    by_lang: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["value"]))):
-        if len(by_lang.setdefault(r["lang"], [])) < sample and len(r["at"]):
-            row = np.zeros(DIMENSIONS, np.float32)
-            row[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float32)
-            by_lang[r["lang"]].append(row)
-    return train({k: np.stack(v) for k, v in by_lang.items() if v})
-
-
-def train(rows: dict[str, np.ndarray]) -> Model:
+    found.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["value"])))
+    taken: dict[str, int] = {}
+    kept = []
+    for r in found:  # ids may repeat, the bound holds all the same
+        if len(r["at"]) and taken.setdefault(r["lang"], 0) < sample:
+            taken[r["lang"]] += 1
+            kept.append(r)
+    rows = np.zeros((len(kept), DIMENSIONS), np.float32)
+    for row, r in zip(rows, kept):
+        row[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float32)
+    return train(rows, [r["lang"] for r in kept])
+
+
+def train(rows: np.ndarray, languages: list[str]) -> Model:
+    """All duels share one table of products between the rows; the bias is a constant feature."""
     members: dict[str, list[str]] = {}
-    for language in sorted(rows):
+    for language in sorted(set(languages)):
         members.setdefault(family(language), []).append(language)
     families = sorted(members)
+    products = (rows @ rows.T).astype(np.float64) + 1.0
+    own, group = np.array(languages, object), np.array([family(x) for x in languages], object)
     pairs, weights, bias = [], [], []
-    levels = [("", families, {f: np.concatenate([rows[x] for x in members[f]]) for f in families})]
-    levels += [(f, members[f], {x: rows[x] for x in members[f]}) for f in families]
-    for level, names, samples in levels:
+    for level, names, side in [("", families, group)] + [(f, members[f], own) for f in families]:
         for a, b in combinations(names, 2):
-            both = np.concatenate([samples[a], samples[b]])
-            sign = np.concatenate([np.ones(len(samples[a])), -np.ones(len(samples[b]))])
-            w, c = train_svm(both, sign)
+            at = np.flatnonzero((side == a) | (side == b))
+            beta = train_svm(products[np.ix_(at, at)], np.where(side[at] == a, 1.0, -1.0))
+            w = np.zeros(DIMENSIONS, np.float32)
+            for i, x in zip(at.tolist(), beta.tolist()):
+                w += np.float32(x) * rows[i]
             w[0] = 0
             pairs.append((level, a, b))
             weights.append(w)
-            bias.append(c)
+            bias.append(float(beta.sum()))
     return Model(families, members, pairs, np.array(weights, np.float32), np.array(bias))
 
 
