@@ -618,10 +618,11 @@ def _(spark, sf):
     f"""WITH {MEASURED_SQL}, e AS (SELECT label, min(word_count) AS lo, max(word_count) AS hi FROM w GROUP BY 1),
         z AS (SELECT label, CASE WHEN lo = hi THEN lo - 0.5::DOUBLE ELSE lo::DOUBLE END AS lo,
                      CASE WHEN lo = hi THEN hi + 0.5::DOUBLE ELSE hi::DOUBLE END AS hi FROM e),
-        b AS (SELECT w.label, lo, hi, CAST(least(floor((word_count - lo) * 40.0 / (hi - lo)), 39) AS INTEGER) AS bin
-              FROM w JOIN z ON w.label = z.label)
-        SELECT label, bin, round(lo + (hi - lo) * bin / 40.0::DOUBLE, 6) AS bin_low, count(*) AS rows
-        FROM b GROUP BY label, bin, lo, hi""",
+        b AS (SELECT w.label, CAST(least(floor((word_count - lo) * 40.0 / (hi - lo)), 39) AS INTEGER) AS bin
+              FROM w JOIN z ON w.label = z.label),
+        k AS (SELECT label, lo, hi, CAST(unnest(range(40)) AS INTEGER) AS bin FROM z)
+        SELECT k.label, k.bin, round(lo + (hi - lo) * k.bin / 40.0::DOUBLE, 6) AS bin_low, count(b.bin) AS rows
+        FROM k LEFT JOIN b ON b.label = k.label AND b.bin = k.bin GROUP BY k.label, k.bin, lo, hi""",
 )
 def _(spark, sf):
     return r6(profile.histogram(measured(spark, sf)), "bin_low")

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from switchyard.checks.base import WS_SQL, check, r6, table
 from switchyard.operators import features
-from switchyard.plans.sizing import spread
 
 
 def _docs(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 WORD_GRAMS_SQL = r"""wt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
@@ -66,7 +65,7 @@ def _(spark, sf):
 def _(spark, sf):
     docs = _docs(spark, sf)
     model = features.Tfidf.fit(docs, features.WORD)
-    return r6(model.weights(model.transform(docs).select("doc_id", "features")), "weight")
+    return r6(model.weights(model.transform(docs, keep=["doc_id"])), "weight")
 
 
 @check(
@@ -75,7 +74,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = _docs(spark, sf)
-    return _summary(features.Tfidf.fit(docs, features.CHAR).transform(docs))
+    return _summary(features.Tfidf.fit(docs, features.CHAR).transform(docs, keep=["doc_id"]))
 
 
 @check(
@@ -85,7 +84,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = _docs(spark, sf)
-    return _summary(features.TfidfUnion.fit(docs).transform(docs))
+    return _summary(features.TfidfUnion.fit(docs).transform(docs, keep=["doc_id"]))
 
 
 @check("word2vec_means")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from switchyard.functions import text as tx
+from switchyard.plans.sizing import join_groups
 
 
 def _require(df: DataFrame, names: Sequence[str]) -> None:
@@ -47,15 +48,20 @@ def text_key(text: Column) -> Column:
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column], order: str) -> DataFrame:
-    """The row with the smallest ``order`` per key.
+    """The row with the smallest ``order`` (a unique id) per key.
 
-    An aggregate, not a window: every map task first reduces its own copies to one row, so a text
-    that makes up a third of the table sends one row per task, not a third of the table to one.
+    Digests and ids are aggregated by hash (map-side combined, so a text that makes up a third of the table
+    sends one row per task), then the ids that lost are taken out: texts are only moved if the losers
+    are too many to broadcast, and nothing is sorted by text.
     """
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    row = F.struct(*df.columns)
-    first = df.groupBy(*named).agg(F.min_by(row, F.col(order)).alias("_r"))
-    return first.select("_r.*")
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = df.withColumns(dict(zip(names, keys)))
+    narrow = keyed.select(*names, F.col(order).alias("_id"))
+    first = narrow.groupBy(*names).agg(F.min("_id").alias("_first"))
+    lost = join_groups(narrow, first, names).where(F.col("_id") > F.col("_first")).select(*names, "_id")
+    lost = lost.withColumnsRenamed({n: f"_lost{n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"_lost{n}")) for n in names] + [F.col(order) == F.col("_id")]
+    return keyed.join(lost, same, "left_anti").select(*df.columns)
 
 
 def dedup_exact(df: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:

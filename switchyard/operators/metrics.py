@@ -1,7 +1,7 @@
 """Classifier quality from long prediction tables.
 
-Everything is derived from additive counts per experiment, so any number of experiments is
-evaluated in one pass with map-side aggregation.
+Everything is derived from additive counts: rows are counted once per (experiment, label, prediction, score) with
+map-side aggregation, and every metric is computed from those counts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from switchyard import schema as S
 from switchyard.functions.numeric import ratio
 from switchyard.plans.running import percentiles, running_totals
+from switchyard.plans.sizing import broadcast_within, join_groups
+from switchyard.session import shared_dir
 
 # Fixed value: probabilities are clipped by the double epsilon before the logarithm.
 EPSILON = 2.220446049250313e-16
@@ -61,22 +63,26 @@ def with_quality(counts: DataFrame) -> DataFrame:
     return counts.select("*", *[c.alias(n) for n, c in quality().items()])
 
 
-def log_loss(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _loss() -> Column:
     p = F.greatest(F.lit(EPSILON), F.least(F.lit(1.0 - EPSILON), F.col("score")))
-    loss = F.when(F.col("label") == 1, -F.ln(p)).otherwise(-F.ln(1.0 - p))
-    return df.groupBy(*by).agg(F.avg(loss).alias("log_loss"))
+    return F.when(F.col("label") == 1, -F.ln(p)).otherwise(-F.ln(1.0 - p))
+
+
+def log_loss(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(F.avg(_loss()).alias("log_loss"))
 
 
-def _score_steps(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    pos = (F.col("label") == 1).cast("long")
-    return running_totals(df, by, "score", {"pos": pos, "neg": F.lit(1).cast("long") - pos})
+def _score_steps(df: DataFrame, by: Sequence[str], weight: Column | None = None) -> DataFrame:
+    unit = F.lit(1).cast("long") if weight is None else weight
+    pos = F.when(F.col("label") == 1, unit).otherwise(F.lit(0))
+    return running_totals(df, by, "score", {"pos": pos, "neg": unit - pos})
 
 
-def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Rank statistic with averaged ties; null when a class is missing."""
     below = F.col("cum_neg") - F.col("neg")
     gain = F.col("pos") * (below + F.col("neg") / 2.0)
-    totals = _score_steps(df, by).groupBy(*by).agg(
+    totals = _score_steps(df, by, weight).groupBy(*by).agg(
         F.sum(gain).alias("_gain"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")
     )
     pairs = F.col("_p").cast("double") * F.col("_n").cast("double")
@@ -87,7 +93,7 @@ def roc_curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(fpr, tpr) when everything scoring at least ``score`` is predicted 1, for every distinct score."""
     steps = _score_steps(df, by)
     sizes = steps.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    placed = steps.join(sizes, list(by)) if by else steps.join(F.broadcast(sizes))  # one row without groups
+    placed = join_groups(steps, broadcast_within(sizes) if by else sizes, by)
     tp = F.col("_p") - F.col("cum_pos") + F.col("pos")
     fp = F.col("_n") - F.col("cum_neg") + F.col("neg")
     return placed.select(
@@ -99,8 +105,13 @@ def roc_curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def evaluate(df: DataFrame, by: Sequence[str] = ("experiment_id",)) -> DataFrame:
     """All eight quality metrics per experiment from (experiment, label, pred, score) rows."""
     by = list(by)
-    counts = with_quality(confusion(df, by))
-    return counts.join(roc_auc(df, by), by).join(log_loss(df, by), by)
+    shared_dir(df.sparkSession)
+    # The predictions (often a model's fresh scores) are read here and nowhere else.
+    cells = df.groupBy(*by, "label", "pred", "score").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    n = F.col("_n")
+    counts = with_quality(confusion(cells, by, n))
+    loss = cells.where("score is not null").groupBy(*by).agg((F.sum(_loss() * n) / F.sum(n)).alias("log_loss"))
+    return join_groups(join_groups(counts, roc_auc(cells, by, n), by), loss, by)
 
 
 def latency_stats(df: DataFrame, value: str = "latency_ms", by: Sequence[str] = ()) -> DataFrame:
@@ -125,4 +136,4 @@ def false_negatives(df: DataFrame, by: str, samples: int = 5, order: str = "doc_
     totals = missed.groupBy(by).agg(F.count(F.lit(1)).alias("missed"))
     rank = F.row_number().over(W.partitionBy(by).orderBy(order))
     few = missed.select(by, order).withColumn("rank", rank).where(F.col("rank") <= samples)
-    return few.join(totals, by)
+    return join_groups(few, totals, [by])

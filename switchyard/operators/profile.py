@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from switchyard.functions.numeric import ratio
+from switchyard.plans.sizing import join_groups
 
 
 def _counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -48,15 +49,16 @@ def split_breakdown(df: DataFrame) -> DataFrame:
 
 
 def split_documents(df: DataFrame) -> DataFrame:
-    """The same as one nested document per split, with maps of counts."""
+    """The same as one nested document per split, with maps of counts (a null key is written ``null``)."""
     parts = split_breakdown(df)
-    entry = F.struct("value", "rows")
+    entry = F.struct(F.coalesce("value", F.lit("null")).alias("value"), "rows")
 
     def as_map(name: str):
         picked = F.collect_list(F.when(F.col("dimension") == name, entry))
         return F.map_from_entries(F.sort_array(picked)).alias(f"{name}s")
 
-    return split_stats(df).join(parts.groupBy("split").agg(as_map("language"), as_map("scenario")), "split")
+    maps = parts.groupBy("split").agg(as_map("language"), as_map("scenario"))
+    return join_groups(split_stats(df), maps, ["split"])
 
 
 def eda_summary(df: DataFrame, splits: Sequence[str] = ("train", "val", "test"), focus: str = "train") -> DataFrame:
@@ -96,24 +98,25 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
 def histogram(df: DataFrame, value: str = "word_count", by: str = "label", bins: int = 40) -> DataFrame:
     """Rows per equal-width bin between each group's own minimum and maximum, last bin closed.
 
-    A group with a single value is spread over [value - 0.5, value + 0.5].
+    Every group has all its bins, empty ones too.  A group with a single value is spread over
+    [value - 0.5, value + 0.5].
     """
     counts = _counts(df.where(F.col(value).isNotNull()), by, value)
     edges = counts.groupBy(by).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
     flat = F.col("_min") == F.col("_max")
     low = F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min").cast("double"))
     high = F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max").cast("double"))
-    sized = counts.join(edges, by).withColumn("_lo", low).withColumn("_hi", high)
+    edges = edges.select(by, low.alias("_lo"), high.alias("_hi"))
     place = F.floor((F.col(value) - F.col("_lo")) * float(bins) / (F.col("_hi") - F.col("_lo")))
-    return (
-        sized.withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
-        .groupBy(by, "bin")
-        .agg(F.sum("n").alias("rows"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
-        .select(
-            by, "bin",
-            (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("bin") / float(bins)).alias("bin_low"),
-            "rows",
-        )
+    filled = (
+        join_groups(counts, edges, [by]).withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
+        .groupBy(by, "bin").agg(F.sum("n").alias("rows"))
+    )
+    every = edges.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return join_groups(every, filled, [by, "bin"], "left").select(
+        by, "bin",
+        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("bin") / float(bins)).alias("bin_low"),
+        F.coalesce("rows", F.lit(0)).alias("rows"),
     )
 
 
@@ -127,7 +130,7 @@ def box_stats(df: DataFrame, value: str = "word_count", by: str = "language") ->
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return (
-        counts.join(boxes, by)
+        join_groups(counts, boxes, [by])
         .groupBy(by, "rows", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),

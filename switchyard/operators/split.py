@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from switchyard.plans.sizing import broadcast_within
+from switchyard.plans.sizing import broadcast_within, join_groups
 
 SPLITS = ("train", "val", "test")
 # Cumulative shares in tenths: 80 / 10 / 10.
@@ -34,7 +34,7 @@ def stratified_split(
     seed: int = 42,
     prefix: int = 4,
 ) -> DataFrame:
-    """Exact 80/10/10 inside every stratum, by rank of a seeded hash.
+    """Exact 80/10/10 inside every stratum, by rank of a seeded hash; null is a stratum like any other.
 
     Same rows as ``row_number() over (partition by stratum order by hash, id)``, but no stratum is
     ever sorted whole: hash prefixes (``16**prefix`` per stratum) are counted with map-side
@@ -63,7 +63,7 @@ def stratified_split(
     edge = ranked.select(*strata, "_prefix", "_before", "_until", *[q.alias(n) for n, q in quota.items()])
     edge = edge.where(holds(F.col("_train")) | holds(F.col("_val")))
     inside = W.partitionBy(*strata, "_prefix").orderBy("_key", "_id")
-    placed = keyed.join(broadcast_within(edge), [*strata, "_prefix"]).withColumn(
+    placed = join_groups(keyed, broadcast_within(edge), [*strata, "_prefix"]).withColumn(
         "_rank", F.col("_before") + F.row_number().over(inside)
     )
     placed = placed.where((F.col("_rank") == F.col("_train")) | (F.col("_rank") == F.col("_val")))
@@ -76,7 +76,7 @@ def stratified_split(
     name = (
         F.when(mine <= F.col("_train_cut"), "train").when(mine <= F.col("_val_cut"), "val").otherwise("test")
     )
-    out = df.join(broadcast_within(cuts), strata, "left").withColumn("split", name)
+    out = join_groups(df, broadcast_within(cuts), strata, "left").withColumn("split", name)
     return out.select(*df.columns, "split")
 
 

@@ -1,9 +1,10 @@
 """Running totals and order statistics without a one-task window.
 
 ``sum() over (order by x)`` sorts a whole group in one task.  Here equal values are first merged
-with map-side aggregation, the distinct values are cut into buckets at approximate quantiles, each
+with map-side aggregation, the distinct values are range-partitioned into as many buckets as wanted, each
 bucket is scanned by its own task, and the (few) bucket totals supply the offsets.  Results are
-exact: the quantiles only decide where the cuts fall.
+exact: the ranges only decide where the cuts fall.  The bucketed counts are checkpointed, so the input is
+read once and the buckets stay as they are when an executor is lost.
 """
 
 from __future__ import annotations
@@ -15,33 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from switchyard.functions.numeric import ratio
-
-# Cuts are literals in the plan; more than this adds nothing but plan size.
-MAX_CUTS = 512
-
-
-def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Index of the bucket between sorted ``cuts`` that holds ``value``, as a binary search tree."""
-    if not cuts:
-        return F.lit(0)
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value <= F.lit(cuts[mid]), search(low, mid)).otherwise(search(mid + 1, high))
-
-    return search(0, len(cuts))
-
-
-def quantile_cuts(df: DataFrame, order: str, buckets: int) -> list[float]:
-    """At most ``buckets - 1`` values that cut ``order`` into buckets of similar size."""
-    buckets = min(buckets, MAX_CUTS + 1)
-    if buckets <= 1:
-        return []
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(order, F.array(*map(F.lit, shares)), F.lit(20 * buckets)).alias("q"))
-    return sorted(set(found.first()["q"] or []))
+from switchyard.plans.sizing import broadcast_within, join_groups
+from switchyard.session import shared_dir
 
 
 def running_totals(
@@ -52,9 +28,11 @@ def running_totals(
     buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct (by, order): its totals ``name`` and inclusive running ``cum_name``."""
+    shared_dir(df.sparkSession)
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = df.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    bucketed = merged.withColumn("_bucket", bucket_of(F.col(order), quantile_cuts(merged, order, buckets)))
+    ranged = merged.repartitionByRange(buckets, *by, order)
+    bucketed = ranged.withColumn("_bucket", F.spark_partition_id()).checkpoint()
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy(*by, "_bucket")
@@ -62,13 +40,7 @@ def running_totals(
         .select(*by, "_bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums])
     )
     inside = W.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    # <=> keeps groups whose key is null.
-    here, there = bucketed.alias("h"), offsets.alias("o")
-    match = [F.col(f"h.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*by, "_bucket")]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    joined = here.join(there, cond).select("h.*", *[f"o._off_{n}" for n in sums])
+    joined = join_groups(bucketed, broadcast_within(offsets), [*by, "_bucket"])
     return joined.select(
         *by, order, *sums,
         *[(F.col(f"_off_{n}") + F.sum(n).over(inside)).alias(f"cum_{n}") for n in sums],
@@ -86,10 +58,7 @@ def percentiles(
         F.sum(F.col(value) * F.col("n")).alias("_sum"),
         F.max(value).alias("_max"),
     )
-    if by:
-        placed = steps.join(sizes, list(by))
-    else:  # one row
-        placed = steps.join(F.broadcast(sizes))
+    placed = join_groups(steps, broadcast_within(sizes) if by else sizes, by)
     first, total = F.col("cum_n") - F.col("n"), F.col("_total")
 
     def at(rank: Column) -> Column:

@@ -15,8 +15,14 @@ _EXACT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def read_messages(spark: SparkSession, path: str, schema: T.StructType = S.MESSAGE) -> DataFrame:
-    """CSV with header; texts may hold line breaks.  The schema is given, never inferred."""
-    return spark.read.options(**_CSV, **_EXACT).schema(schema).csv(path)
+    """CSV with header, columns taken by name; texts may hold line breaks.  Types are given, never inferred.
+
+    A file without one of the columns, or with another order than the first file's, is an error.
+    """
+    header = spark.read.options(**_CSV, **_EXACT).csv(path).columns
+    named = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    rows = spark.read.options(**_CSV, **_EXACT, enforceSchema=False).schema(named).csv(path)
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
 def write_messages(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -44,7 +50,9 @@ def read_split_csv(spark: SparkSession, path: str, schema: T.StructType = S.MESS
     """One split file; a missing file reads as no rows."""
     try:
         return read_messages(spark, path, schema)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

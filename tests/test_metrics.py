@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from switchyard.operators import metrics, thresholds
-from switchyard.plans.running import bucket_of, percentiles, running_totals
+from switchyard.plans.running import percentiles, running_totals
 
 
 def scored(n=400, seed=5, hot=0.34):
@@ -34,10 +34,28 @@ def test_running_totals_keep_null_groups(spark):
     assert got == {(None, 1.0): 1, (None, 2.0): 2, ("a", 1.0): 1}
 
 
-def test_bucket_search(spark):
-    cuts = [1.0, 2.0, 4.0]
-    rows = spark.createDataFrame([(v,) for v in (0.5, 1.0, 1.5, 2.0, 4.0, 9.0)], "v double")
-    assert [r[0] for r in rows.select(bucket_of(F.col("v"), cuts)).collect()] == [0, 0, 1, 1, 2, 3]
+def test_more_buckets_than_values_and_text_order(spark):
+    rows = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "v string")
+    got = {r["v"]: r["cum_n"] for r in running_totals(rows, [], "v", {"n": F.lit(1)}, 700).collect()}
+    assert got == {"a": 2, "b": 3, "c": 4}
+
+
+def test_null_groups_are_kept(spark):
+    rows = [(i, i % 2, i / 10, int(i > 4), None if i < 6 else "a") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, score double, pred int, g string")
+    assert {r["g"]: r["n"] for r in metrics.latency_stats(df, "score", ["g"]).collect()} == {None: 6, "a": 6}
+    assert {r["g"] for r in metrics.roc_curve(df, ["g"]).collect()} == {None, "a"}
+    found = {r["g"]: r for r in metrics.evaluate(df, ["g"]).collect()}
+    assert found.keys() == {None, "a"} and found[None]["tp"] + found[None]["fn"] == 3
+    missed = df.withColumn("pred", F.lit(0))
+    assert {r["g"] for r in metrics.false_negatives(missed, "g").collect()} == {None, "a"}
+
+
+def test_evaluate_reads_the_predictions_once(spark, tmp_path):
+    rows = [("e", i, i % 2, 1, i / 10) for i in range(10)]
+    spark.createDataFrame(rows, "experiment_id string, doc_id long, label int, pred int, score double").write.parquet(str(tmp_path / "p"))
+    plan = metrics.evaluate(spark.read.parquet(str(tmp_path / "p")))._jdf.queryExecution().toString()
+    assert "FileScan" not in plan  # counted before, in one job
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 300])

@@ -9,6 +9,8 @@ import __spark_entry__ as entry
 from tools.compare import TABLES, _rows
 
 SF = "/root/testdata/sf0.001"
+# Full-size fits take minutes; tools/compare.py runs them, the operators have tests of their own.
+FITS = {"train_calibrated_svm", "train_boosted_trees", "search_best_params", "word2vec_means"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -20,7 +22,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql().keys() - FITS))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got = _rows(df.columns, df.collect())
