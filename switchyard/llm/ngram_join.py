@@ -11,8 +11,8 @@ Two documents link when 100 * |intersection| >= 80 * |union|; the result is ever
 4. The token-group matrix: groups are cut in bounded pieces, and the union of a piece's shingles is held
    against all other groups the same way as in 2.  A piece whose union shares too little with the rest
    cannot hold a partner of anything and stays closed.
-5. In what is left, shingles are ordered by how many documents have them; a query meets a piece if both
-   have one of their rarest fifth in common (a query outside that cannot reach 80 %).  The piece bounds the
+5. In what is left, shingles are ordered by how many documents have them; a query meets a piece if they share
+   a shingle so early in that order that both still hold enough to link.  The piece bounds the
    overlap by |query & union|, is opened only if that reaches 80 % of the query, and verifies its members.
 
 Steps 2 to 5 only drop pairs that cannot link, whatever the grouping of step 3 finds; shingles are 64-bit
@@ -43,7 +43,7 @@ PERCENT = 80
 HASHES, BANDS, ROWS = 16, 5, 3
 #: Min-hashes that must agree before a pair is worth a verification, and leaders tried per class.
 LIKELY, LEADERS = 9, 2
-CHUNK, BUCKET = 2_000_000, 4_000_000
+CHUNK, BUCKET = 2_000_000, 1_000_000
 PIECE, ASKERS = 256, 512
 _SALTS = np.random.default_rng(31).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 
@@ -158,8 +158,11 @@ class Packer:
         self.clear()
 
 
-def _tally(table: pa.Table) -> pa.Table:
-    """Of one bucket: how many shingles of each document another owner has too."""
+PARTIAL = "part int, docs binary, shared binary"
+
+
+def _tally(table: pa.Table, parts: int) -> pa.Table:
+    """Of one bucket: how many shingles of each document another owner has too, packed by part of the documents."""
     tokens, docs, owners, marks = [], [], [], []
     total: dict[str, list[np.ndarray]] = {"doc": [], "shared": []}
     for bucket, gaps, place, d, o, counts in zip(*(table.column(c).to_pylist() for c in Packer.NAMES)):
@@ -187,8 +190,30 @@ def _tally(table: pa.Table) -> pa.Table:
         who, count = np.unique(d[keep], return_counts=True)
         total["doc"].append(who)
         total["shared"].append(count)
-    none = [np.zeros(0, np.int64)]
-    return pa.table({"doc": np.concatenate(total["doc"] or none), "shared": np.concatenate(total["shared"] or none).astype(np.int64)})
+    doc, shared = _summed(total["doc"], total["shared"])
+    part = (doc.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    doc, shared, part = doc[order], shared[order], part[order]
+    found, at = np.unique(part, return_index=True)
+    ends = [*at[1:].tolist(), len(part)]
+    rows = [(doc[i:j].tobytes(), shared[i:j].tobytes()) for i, j in zip(at.tolist(), ends)]
+    return pa.table({"part": found, "docs": pa.array([r[0] for r in rows], pa.binary()), "shared": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _summed(docs: list[np.ndarray], shared: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc, at = np.unique(np.concatenate(docs), return_inverse=True)
+    total = np.zeros(len(doc), np.int64)
+    np.add.at(total, at, np.concatenate(shared))
+    return doc, total
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The totals of one part of the documents over all buckets."""
+    docs, shared = ([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()] for c in ("docs", "shared"))
+    doc, total = _summed(docs, shared)
+    return pa.table({"doc": doc, "shared": total})
 
 
 def shared_shingles(rows: DataFrame, packed: Callable[[Packer], Callable], shingles: int) -> DataFrame:
@@ -199,8 +224,8 @@ def shared_shingles(rows: DataFrame, packed: Callable[[Packer], Callable], shing
     bits = min(64, max(32, shingles.bit_length() + 7))
     buckets = max(partitions(rows.sparkSession), -(-shingles // BUCKET))
     sent = arrow_pass(rows, packed(Packer(bits, buckets)), Packer.SCHEMA)
-    counted = sent.groupBy("bucket").applyInArrow(_tally, "doc long, shared long")
-    return counted.groupBy("doc").agg(F.sum("shared").alias("shared"))
+    partial = sent.groupBy("bucket").applyInArrow(lambda table: _tally(table, buckets), PARTIAL)
+    return partial.groupBy("part").applyInArrow(_gather, "doc long, shared long")
 
 
 def _pack_texts(packer: Packer):
@@ -329,11 +354,18 @@ def open_links(held: DataFrame, percent: int) -> DataFrame:
     rarest = (
         tokens.join(stats, "token").withColumn("nth", F.row_number().over(order))
         .where(F.col("across") & (F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-        .select("rep", "component", "piece", "token").checkpoint()
+        .select("rep", "component", "piece", "n", "token", (F.col("n") - F.col("nth") + 1).alias("left")).checkpoint()
+    )
+    groups = rarest.groupBy("token", F.col("component").alias("_group"), F.col("piece").alias("_piece")).agg(
+        F.min("n").alias("_least"), F.max("n").alias("_most"), F.max("left").alias("_left")
+    )
+    # From this shingle on both must still hold what two sets of their sizes need in common.
+    possible = (
+        f"component > _group AND {percent} * n <= 100 * _most AND {percent} * _least <= 100 * n"
+        f" AND least(left, _left) * {100 + percent} >= {percent} * (n + _least)"
     )
-    groups = rarest.select("token", F.col("component").alias("_group"), F.col("piece").alias("_piece")).distinct()
     asked = (
-        rarest.join(groups, "token").where("component > _group")
+        rarest.join(groups, "token").where(possible)
         .select("rep", F.col("_piece").alias("piece")).distinct().checkpoint()
     )
     pieces = asked.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("blocks"))
