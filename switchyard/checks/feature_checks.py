@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from switchyard.checks.base import WS_SQL, check, r6, table
@@ -85,14 +84,3 @@ def _(spark, sf):
 def _(spark, sf):
     docs = _docs(spark, sf)
     return _summary(features.TfidfUnion.fit(docs).transform(docs, keep=["doc_id"]))
-
-
-@check("word2vec_means")
-def _(spark, sf):
-    docs = _docs(spark, sf)
-    vectors = features.MeanWordVectors.fit(docs, epochs=1).transform(docs)
-    parts = vector_to_array("features")
-    return vectors.select(
-        "doc_id", F.size(parts).alias("size"),
-        F.sqrt(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x * x)).alias("length"),
-    )
