@@ -613,6 +613,17 @@ def _(spark, sf):
     return r6(profile.top_values(docs(spark, sf), "source", 5), "share")
 
 
+@check(
+    "split_documents",
+    f"""WITH {SPLIT_M_SQL} SELECT s.split, s.rows, l.value AS language, l.n AS language_rows FROM
+          (SELECT split, count(*) AS rows FROM h GROUP BY 1) s
+          JOIN (SELECT split, language AS value, count(*) AS n FROM h GROUP BY ALL) l USING (split)""",
+)
+def _(spark, sf):
+    found = profile.split_documents(split.hash_split(messages(spark, sf)))
+    return found.select("split", "rows", F.explode("languages").alias("language", "language_rows"))
+
+
 @check(
     "word_count_histogram",
     f"""WITH {MEASURED_SQL}, e AS (SELECT label, min(word_count) AS lo, max(word_count) AS hi FROM w GROUP BY 1),

@@ -300,16 +300,34 @@ RESULT_SQL = f"""{PAIRS_SQL}, {AUC_SQL}, {LOSS_SQL}, r AS (
 METRIC_LIST = ", ".join(S.METRICS)
 
 
+@check(
+    "report_round_trip",
+    f"""WITH {RESULT_SQL} SELECT f AS format, experiment_id, recall_1, mcc
+        FROM r, (VALUES ('csv'), ('json'), ('parquet')) v(f)""",
+)
+def _(spark, sf):
+    """A comparison report written, and read again, in every format."""
+    report = _results(spark, sf).select("experiment_id", "recall_1", "mcc")
+    back = None
+    for fmt in ("csv", "json", "parquet"):
+        path = scratch_path(spark, f"report-{fmt}")
+        docs_io.write_report(report, path, fmt=fmt)
+        one = docs_io.read_report(spark, path, report.schema, fmt).withColumn("format", F.lit(fmt))
+        back = one if back is None else back.unionByName(one)
+    return back
+
+
 @check("scan_results", f"WITH {RESULT_SQL} SELECT experiment_id, approach, {METRIC_LIST} FROM r")
 def _(spark, sf):
     # Half of the documents are flat, half nested; each goes to a file of its own plus a broken one.
     flat = _results(spark, sf)
     root = scratch_path(spark, "experiments")
     nested = docs_io.nest_results(flat.where("experiment_id <> 'exp_a'"))
+    name = F.get_json_object("document", "$.experiment_id").alias("folder")
     layout = docs_io.as_document(flat.where("experiment_id = 'exp_a'")).unionByName(docs_io.as_document(nested))
-    broken = spark.createDataFrame([("{not json",)], "document string")
-    docs_io.write_documents(layout.unionByName(broken), f"{root}/models")
-    found = docs_io.scan_results(spark, root, file_name="*.txt")
+    broken = spark.createDataFrame([("{not json", "broken")], "document string, folder string")
+    docs_io.write_documents(layout.select("document", name).unionByName(broken), f"{root}/models")
+    found = docs_io.scan_results(spark, root)
     return docs_io.flatten_results(docs_io.normalise_results(found)).select("experiment_id", "approach", *S.METRICS)
 
 
@@ -385,17 +403,17 @@ CHEAP = costs.Prices().cheap
 
 def _cost_sql(share: str) -> str:
     return f"""WITH {RESULT_SQL}, x AS (
-          SELECT 'all_strong' AS strategy, 0.0::DOUBLE AS pct_cheap, 1.0::DOUBLE AS recall_1
-          UNION ALL SELECT 'all_cheap', 1.0, 0.0 UNION ALL SELECT 'router_' || experiment_id, {share}, recall_1 FROM r)
-        SELECT strategy, recall_1, round(pct_cheap, 6) AS pct_cheap, round(1 - pct_cheap, 6) AS pct_strong,
-          round(cost, 6) AS daily_cost_usd, round(50.0::DOUBLE, 6) AS baseline_cost_usd,
-          round(50.0 - cost, 6) AS daily_savings_usd, round((50.0 - cost) * 30, 6) AS monthly_savings_usd,
-          round((50.0 - cost) / 50.0 * 100, 6) AS savings_pct
-        FROM (SELECT *, 25000 * ((1 - pct_cheap) * {STRONG}::DOUBLE + pct_cheap * {CHEAP}::DOUBLE) AS cost FROM x)"""
+          SELECT 'router_' || experiment_id AS strategy, tp + fp + fn + tn AS messages, {share} AS pct_cheap, recall_1 FROM r
+          UNION ALL SELECT 'all_strong', max(tp + fp + fn + tn), 0.0::DOUBLE, 1.0 FROM r
+          UNION ALL SELECT 'all_cheap', max(tp + fp + fn + tn), 1.0, 0.0 FROM r),
+        y AS (SELECT *, messages * ((1 - pct_cheap) * {STRONG}::DOUBLE + pct_cheap * {CHEAP}::DOUBLE) AS cost,
+                     messages * {STRONG}::DOUBLE AS base FROM x)
+        SELECT strategy, CAST(messages AS BIGINT) AS messages, recall_1, round(pct_cheap, 6) AS pct_cheap,
+          round(1 - pct_cheap, 6) AS pct_strong, round(cost, 6) AS cost_usd, round(base, 6) AS baseline_usd,
+          round(base - cost, 6) AS savings_usd, round((base - cost) / greatest(base, 1e-9) * 100, 6) AS savings_pct FROM y"""
 
 
-COST_COLUMNS = ("pct_cheap", "pct_strong", "daily_cost_usd", "baseline_cost_usd", "daily_savings_usd",
-                "monthly_savings_usd", "savings_pct")
+COST_COLUMNS = ("pct_cheap", "pct_strong", "cost_usd", "baseline_usd", "savings_usd", "savings_pct")
 
 
 def _experiments(spark, sf):

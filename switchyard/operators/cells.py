@@ -32,11 +32,11 @@ def filter_cells(
 
 def default_plan(spark: SparkSession) -> DataFrame:
     """The default fraction tree, one row per cell."""
+    share = dict(S.PLAN_LANGUAGES)
     rows = [
-        (language, industry, scenario, share, part, simple if scenario == S.SIMPLE else round(1 - simple, 2))
-        for language, (share, industries) in S.DEFAULT_PLAN.items()
-        for industry, (part, simple) in zip(S.INDUSTRIES, industries, strict=True)
-        for scenario in S.SCENARIOS
+        (language, industry, scenario, share[language], part, fraction)
+        for language, industry, part, *scenarios in S.PLAN_INDUSTRIES
+        for scenario, fraction in zip(S.SCENARIOS, scenarios, strict=True)
     ]
     fractions = "language_fraction double, industry_fraction double, scenario_fraction double"
     return spark.createDataFrame(rows, f"language string, industry string, scenario string, {fractions}")

@@ -48,36 +48,37 @@ def routed_share(mode: str = "observed") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def with_costs(df: DataFrame, share: Column, prices: Prices = Prices(), daily: int = S.DAILY_MESSAGES) -> DataFrame:
-    """Shares, daily cost, baseline, and daily and 30-day saving against all-strong."""
-    whole = float(daily)
+def with_costs(df: DataFrame, share: Column, prices: Prices = Prices()) -> DataFrame:
+    """Shares, cost of the counted ``messages``, baseline and saving against all-strong."""
+    n = F.col("messages")
     return (
         df.withColumn("pct_cheap", share)
         .withColumn("pct_strong", 1.0 - F.col("pct_cheap"))
-        .withColumn(
-            "daily_cost_usd",
-            F.col("pct_strong") * whole * prices.strong + F.col("pct_cheap") * whole * prices.cheap,
-        )
-        .withColumn("baseline_cost_usd", F.lit(whole * prices.strong))
-        .withColumn("daily_savings_usd", F.col("baseline_cost_usd") - F.col("daily_cost_usd"))
-        .withColumn("monthly_savings_usd", F.col("daily_savings_usd") * 30)
-        .withColumn("savings_pct", savings_percent(F.col("daily_savings_usd"), F.col("baseline_cost_usd")))
+        .withColumn("cost_usd", n * (F.col("pct_strong") * prices.strong + F.col("pct_cheap") * prices.cheap))
+        .withColumn("baseline_usd", n * prices.strong)
+        .withColumn("savings_usd", F.col("baseline_usd") - F.col("cost_usd"))
+        .withColumn("savings_pct", savings_percent(F.col("savings_usd"), F.col("baseline_usd")))
     )
 
 
-def cost_table(experiments: DataFrame, mode: str = "observed", prices: Prices = Prices(),
-               daily: int = S.DAILY_MESSAGES) -> DataFrame:
-    """Baselines first, then one row per experiment by saving, from confusion counts and metrics."""
+def cost_table(experiments: DataFrame, mode: str = "observed", prices: Prices = Prices()) -> DataFrame:
+    """Baselines first, then one row per experiment by saving: what the evaluated rows themselves cost.
+
+    No traffic is assumed; the messages are those that the confusion counts hold (for the baselines, those
+    of the largest experiment).
+    """
+    n = (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("messages")
     routers = experiments.select(
-        F.concat(F.lit("router_"), F.col("experiment_id")).alias("strategy"),
+        F.concat(F.lit("router_"), F.col("experiment_id")).alias("strategy"), n,
         routed_share(mode).alias("_share"), "recall_1", F.lit(2).alias("_rank"),
     )
-    fixed = experiments.sparkSession.createDataFrame(
-        [("all_strong", 0.0, 1.0, 0), ("all_cheap", 1.0, 0.0, 1)],
-        "strategy string, _share double, recall_1 double, _rank int",
+    baselines = F.array(
+        F.struct(F.lit("all_strong").alias("strategy"), F.lit(0.0).alias("_share"), F.lit(1.0).alias("recall_1"), F.lit(0).alias("_rank")),
+        F.struct(F.lit("all_cheap").alias("strategy"), F.lit(1.0).alias("_share"), F.lit(0.0).alias("recall_1"), F.lit(1).alias("_rank")),
     )
-    every = with_costs(fixed.unionByName(routers), F.col("_share"), prices, daily)
-    return every.orderBy("_rank", F.col("daily_savings_usd").desc(), "strategy").drop("_share", "_rank")
+    fixed = routers.agg(F.max("messages").alias("messages")).select("messages", F.inline(baselines))
+    every = with_costs(fixed.unionByName(routers), F.col("_share"), prices)
+    return every.orderBy("_rank", F.col("savings_usd").desc(), "strategy").drop("_share", "_rank")
 
 
 def routed_rollup(routed: DataFrame, by: str = "strategy", prices: Prices = Prices()) -> DataFrame:
@@ -96,4 +97,4 @@ def routed_rollup(routed: DataFrame, by: str = "strategy", prices: Prices = Pric
 
 def top_routers(costs: DataFrame, k: int = 10) -> DataFrame:
     routers = costs.where(F.col("strategy").startswith("router_"))
-    return routers.orderBy(F.col("daily_savings_usd").desc(), "strategy").limit(k)
+    return routers.orderBy(F.col("savings_usd").desc(), "strategy").limit(k)

@@ -71,7 +71,6 @@ PLAIN_LANGUAGE = "pure_english"
 # Defaults of the routing and evaluation rules.
 CONFIDENCE_THRESHOLD = 0.70
 RECALL_GATE = 0.90
-DAILY_MESSAGES = 25_000
 STRONG_MODEL = "gpt-4o"
 CHEAP_MODEL = "gpt-4o-mini"
 STRONG_INPUT_PER_1M = 2.50
@@ -91,22 +90,55 @@ LENGTH_PROFILE = {
     PROXIMITY: ((3, 10, 0.45), (11, 25, 0.40), (26, 45, 0.15)),
 }
 
-# The default plan.  Per language its share, then per industry (in the order of
-# INDUSTRIES) the industry's share of the language and the simple scenario's share of the industry.
-DEFAULT_PLAN = {
-    "pure_english": (0.60, (
-        (0.12, 0.84), (0.12, 0.82), (0.20, 0.85), (0.12, 0.85), (0.13, 0.83), (0.06, 0.82), (0.15, 0.82), (0.10, 0.83),
-    )),
-    "singlish_light": (0.20, (
-        (0.22, 0.60), (0.17, 0.58), (0.17, 0.62), (0.04, 0.65), (0.12, 0.62), (0.11, 0.55), (0.10, 0.58), (0.07, 0.60),
-    )),
-    "singlish_heavy": (0.10, (
-        (0.25, 0.60), (0.18, 0.58), (0.17, 0.62), (0.04, 0.65), (0.13, 0.62), (0.10, 0.55), (0.08, 0.58), (0.05, 0.60),
-    )),
-    "tanglish_light": (0.07, (
-        (0.16, 0.60), (0.18, 0.58), (0.18, 0.62), (0.09, 0.65), (0.14, 0.62), (0.11, 0.55), (0.05, 0.58), (0.09, 0.60),
-    )),
-    "tanglish_heavy": (0.03, (
-        (0.17, 0.60), (0.20, 0.58), (0.18, 0.62), (0.09, 0.65), (0.13, 0.62), (0.10, 0.55), (0.05, 0.58), (0.08, 0.60),
-    )),
-}
+# The default plan, shares of all messages by language.
+PLAN_LANGUAGES = (
+    ("pure_english", 0.60),
+    ("singlish_light", 0.20),
+    ("singlish_heavy", 0.10),
+    ("tanglish_light", 0.07),
+    ("tanglish_heavy", 0.03),
+)
+# Language, industry, share of the industry in the language, shares of the simple and of the
+# proximity scenario in the industry.
+PLAN_INDUSTRIES = (
+    ("pure_english", "ecommerce", 0.12, 0.84, 0.16),
+    ("pure_english", "healthcare", 0.12, 0.82, 0.18),
+    ("pure_english", "banking", 0.20, 0.85, 0.15),
+    ("pure_english", "insurance", 0.12, 0.85, 0.15),
+    ("pure_english", "telecom", 0.13, 0.83, 0.17),
+    ("pure_english", "logistics", 0.06, 0.82, 0.18),
+    ("pure_english", "hospitality", 0.15, 0.82, 0.18),
+    ("pure_english", "education", 0.10, 0.83, 0.17),
+    ("singlish_light", "ecommerce", 0.22, 0.60, 0.40),
+    ("singlish_light", "healthcare", 0.17, 0.58, 0.42),
+    ("singlish_light", "banking", 0.17, 0.62, 0.38),
+    ("singlish_light", "insurance", 0.04, 0.65, 0.35),
+    ("singlish_light", "telecom", 0.12, 0.62, 0.38),
+    ("singlish_light", "logistics", 0.11, 0.55, 0.45),
+    ("singlish_light", "hospitality", 0.10, 0.58, 0.42),
+    ("singlish_light", "education", 0.07, 0.60, 0.40),
+    ("singlish_heavy", "ecommerce", 0.25, 0.60, 0.40),
+    ("singlish_heavy", "healthcare", 0.18, 0.58, 0.42),
+    ("singlish_heavy", "banking", 0.17, 0.62, 0.38),
+    ("singlish_heavy", "insurance", 0.04, 0.65, 0.35),
+    ("singlish_heavy", "telecom", 0.13, 0.62, 0.38),
+    ("singlish_heavy", "logistics", 0.10, 0.55, 0.45),
+    ("singlish_heavy", "hospitality", 0.08, 0.58, 0.42),
+    ("singlish_heavy", "education", 0.05, 0.60, 0.40),
+    ("tanglish_light", "ecommerce", 0.16, 0.60, 0.40),
+    ("tanglish_light", "healthcare", 0.18, 0.58, 0.42),
+    ("tanglish_light", "banking", 0.18, 0.62, 0.38),
+    ("tanglish_light", "insurance", 0.09, 0.65, 0.35),
+    ("tanglish_light", "telecom", 0.14, 0.62, 0.38),
+    ("tanglish_light", "logistics", 0.11, 0.55, 0.45),
+    ("tanglish_light", "hospitality", 0.05, 0.58, 0.42),
+    ("tanglish_light", "education", 0.09, 0.60, 0.40),
+    ("tanglish_heavy", "ecommerce", 0.17, 0.60, 0.40),
+    ("tanglish_heavy", "healthcare", 0.20, 0.58, 0.42),
+    ("tanglish_heavy", "banking", 0.18, 0.62, 0.38),
+    ("tanglish_heavy", "insurance", 0.09, 0.65, 0.35),
+    ("tanglish_heavy", "telecom", 0.13, 0.62, 0.38),
+    ("tanglish_heavy", "logistics", 0.10, 0.55, 0.45),
+    ("tanglish_heavy", "hospitality", 0.05, 0.58, 0.42),
+    ("tanglish_heavy", "education", 0.08, 0.60, 0.40),
+)

@@ -89,6 +89,11 @@ def as_document(df: DataFrame, name: str = "document") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
 
-def write_documents(documents: DataFrame, root: str, column: str = "document") -> None:
-    """One file per document below ``root`` (result documents are few and small)."""
-    documents.select(F.col(column).alias("value")).write.option("maxRecordsPerFile", 1).text(root)
+def write_documents(documents: DataFrame, root: str, column: str = "document", folder: str = "folder") -> None:
+    """``<root>/folder=<name>/result.json`` per document (result documents are few and small)."""
+    documents.select(F.col(column).alias("value"), folder).write.partitionBy(folder).text(root)
+    spark = documents.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(path(f"{root}/{folder}=*/part-*")):
+        files.rename(part.getPath(), path(part.getPath().getParent(), "result.json"))

@@ -160,8 +160,48 @@ def test_costs(spark):
     rows = spark.createDataFrame([("a", 50, 10, 10, 30, 0.83, 0.75)],
                                  "experiment_id string, tp long, fp long, fn long, tn long, recall_1 double, precision_0 double")
     table = {r["strategy"]: r for r in costs.cost_table(rows).collect()}
-    assert table["all_strong"]["daily_cost_usd"] == pytest.approx(50.0)
-    assert table["all_cheap"]["daily_cost_usd"] == pytest.approx(3.0)
+    assert table["all_strong"]["cost_usd"] == pytest.approx(100 * costs.Prices().strong)
+    assert table["all_cheap"]["cost_usd"] == pytest.approx(100 * costs.Prices().cheap)
     assert table["router_a"]["pct_cheap"] == pytest.approx(0.4)
     estimate = {r["strategy"]: r for r in costs.cost_table(rows, "estimate").collect()}
     assert estimate["router_a"]["pct_cheap"] == pytest.approx(0.75 * (1 - 0.83))
+
+
+def test_histogram_has_every_bin_of_every_group(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 45), (None, 7), (None, 7)], "label int, word_count int")
+    got = {}
+    for r in profile.histogram(rows, bins=10).collect():
+        got.setdefault(r["label"], []).append((r["bin"], r["rows"]))
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {
+        1: [1, 0, 0, 0, 0, 0, 0, 0, 0, 1], None: [0, 0, 0, 0, 0, 2, 0, 0, 0, 0],
+    }
+
+
+def test_null_groups_stay_in_profiles(spark):
+    rows = spark.createDataFrame([(None, "a", 1, 3), ("train", None, 0, 4)], "split string, language string, label int, word_count int")
+    rows = rows.withColumn("scenario", F.lit("s"))
+    assert {r["split"] for r in profile.split_documents(rows).collect()} == {None, "train"}
+    assert {r["language"] for r in profile.box_stats(rows).collect()} == {None, "a"}
+
+
+def test_null_strata_are_split_80_10_10(spark):
+    rows = spark.range(40).selectExpr("id AS doc_id", "if(id < 20, null, 1) AS label", "'s' AS scenario")
+    got = {(r["label"], r["split"]): r["count"] for r in split.stratified_split(rows).groupBy("label", "split").count().collect()}
+    assert got == {(k, s): n for k in (None, 1) for s, n in (("train", 16), ("val", 2), ("test", 2))}
+
+
+def test_csv_columns_are_read_by_name_and_only_absence_is_empty(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('language,text,industry,scenario,label,word_count\nen,"hi\nthere",x,y,1,2\n')
+    row = files.read_messages(spark, str(tmp_path / "a.csv")).first()
+    assert (row["text"], row["language"], row["label"]) == ("hi\nthere", "en", 1)
+    assert files.read_split_csv(spark, str(tmp_path / "none.csv")).count() == 0
+    (tmp_path / "b.csv").write_text("language\nen\n")
+    with pytest.raises(Exception, match="text"):
+        files.read_split_csv(spark, str(tmp_path / "b.csv")).count()
+
+
+def test_dedup_keeps_smallest_id_without_sorting_texts(spark):
+    rows = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, None), (5, None)], "doc_id long, text string")
+    kept = cleaning.dedup_exact(rows)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
+    assert "SortAggregate" not in kept._jdf.queryExecution().toString()
