@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from switchyard.plans.sizing import broadcast_within, join_groups
+from switchyard.session import shared_dir
 
 SPLITS = ("train", "val", "test")
 # Cumulative shares in tenths: 80 / 10 / 10.
@@ -44,7 +45,8 @@ def stratified_split(
     """
     strata = list(strata)
     keyed = df.select(*strata, shuffle_key(F.col(row_id), seed).alias("_key"), F.col(row_id).alias("_id"))
-    keyed = keyed.withColumn("_prefix", F.substring("_key", 1, prefix))
+    shared_dir(df.sparkSession)
+    keyed = keyed.withColumn("_prefix", F.substring("_key", 1, prefix)).checkpoint()  # keys only, read three times
     upto = W.partitionBy(*strata).orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*strata)
     counts = keyed.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
