@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from switchyard.llm.common import arrow_pass, narrow
+from switchyard.plans.sizing import broadcast_within
+from switchyard.session import shared_dir
 
 SAMPLE = 500
 DIMENSIONS = 1 << 13
@@ -176,6 +178,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` labelled rows per language."""
+    shared_dir(docs.sparkSession)
     plain = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
         F.col(f"`{lang}`").cast("string").alias("lang"),
@@ -194,7 +197,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 names=["doc_id", "lang", "at", "value"],
             )
 
-    taught = plain.join(chosen, ["doc_id", "lang"], "left_semi")
+    # ``sample`` rows per language: counted before it is broadcast, so the texts are not shuffled.
+    taught = plain.join(broadcast_within(chosen), ["doc_id", "lang"], "left_semi")
     found = arrow_pass(taught, rows_of, "doc_id long, lang string, at binary, value binary").collect()
     found.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["value"])))
     taken: dict[str, int] = {}
