@@ -41,3 +41,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Copies that one array lists at most.
+STRIDE = 4096
+
+
+def numbered(rows: DataFrame, times: str, name: str) -> DataFrame:
+    """Every row ``times`` times, with ``name`` from 1 on; no array grows with the number of copies."""
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / STRIDE)))
+    blocks = rows.where(F.col(times) > 0).select("*", block.alias("_block"))
+    last = F.least(F.col(times).cast("long"), (F.col("_block") + 1) * STRIDE)
+    nth = F.explode(F.sequence(F.col("_block") * STRIDE + 1, last))
+    return blocks.select(*[F.col(f"`{c}`") for c in rows.columns], nth.alias(name))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from switchyard.llm.common import SPACE, arrow_pass, narrow, partitions, text_bytes
+from switchyard.llm.common import SPACE, arrow_pass, narrow, numbered, partitions, text_bytes
 
 #: Bytes of text that a trie holds before it emits its largest subtree.
 TRIE_BYTES = 32 << 20
@@ -201,10 +201,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     joined = counted.join(text_classes(docs, doc_id, text), "digest")
     owner = F.when(F.col("owner") != LAST_ID, F.col("owner"))
     stays = F.col("doc_id").eqNullSafe(owner) & (F.col("points") == F.col("best"))
-    return joined.select(
+    classed = joined.select(
         "doc_id", owner.alias("keep_id"), F.col("copies").alias("group_size"), stays.alias("_stays"),
-        F.lower(F.hex("digest")).alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_nth"),
-    ).select("doc_id", "keep_id", "group_size", (F.col("_stays") & (F.col("_nth") == 1)).alias("kept"), "text_sha256")
+        F.lower(F.hex("digest")).alias("text_sha256"), "times",
+    )
+    kept = (F.col("_stays") & (F.col("_nth") == 1)).alias("kept")
+    return numbered(classed, "times", "_nth").select("doc_id", "keep_id", "group_size", kept, "text_sha256")
 
 
 def _with_digest(schema: pa.Schema | None = None):

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from switchyard.llm.common import numbered
 from switchyard.session import shared_dir
 
 LIMIT_BYTES = 16 << 20
@@ -90,10 +91,9 @@ def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     # Equal (id, bytes) rows are interchangeable: they are counted, then numbered within the id.
     counted = rows.groupBy("doc_id", "bytes").agg(F.count(F.lit(1)).alias("_times"))
     before = W.partitionBy("doc_id").orderBy("bytes").rowsBetween(W.unboundedPreceding, -1)
-    numbered = counted.withColumn("_before", F.coalesce(F.sum("_times").over(before), F.lit(0)))
-    each = numbered.select(
-        "doc_id", "bytes", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_times"))).alias("nth")
-    )
+    offset = counted.withColumn("_before", F.coalesce(F.sum("_times").over(before), F.lit(0)))
+    nth = (F.col("_before") + F.col("_copy")).alias("nth")
+    each = numbered(offset, "_times", "_copy").select("doc_id", "bytes", nth)
     return each.withColumn("_bits", hash_bits(F.col("doc_id"), F.col("nth")))
 
 

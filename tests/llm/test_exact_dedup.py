@@ -2,7 +2,8 @@ import hashlib
 import random
 import re
 
-from odd_rows import ROWS
+from odd_rows import ROWS, odd_documents
+from switchyard.llm import common
 from switchyard.llm import exact_dedup as E
 
 
@@ -29,6 +30,12 @@ def test_stage_keeps_one_row_of_each_group_with_all_columns(odd):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(b[0]) for b in brute(ROWS) if b[3])
 
 
+def test_more_copies_of_a_row_than_one_array_lists(spark, monkeypatch):
+    monkeypatch.setattr(common, "STRIDE", 16)
+    rows = [(None, "a b", *[None] * 7)] * 33 + [(4, "ab", *[None] * 7)] * 16 + [(5, "c", *[None] * 7)] * 17
+    assert sorted(map(tuple, E.exact_duplicates(odd_documents(spark, rows)).collect()), key=str) == brute(rows)
+
+
 def test_empty_table(nothing):
     assert E.exact_duplicates(nothing).count() == 0
     assert E.drop_exact_duplicates(nothing).count() == 0

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 
 from odd_rows import ROWS, odd_documents
+from switchyard.llm import common
 from switchyard.llm import sharding as S
 
 
@@ -40,6 +41,13 @@ def test_one_id_for_many_rows(spark):
     assert got == brute(rows, 300) and all(r[5] <= 300 for r in got)
 
 
+def test_more_copies_of_a_row_than_one_array_lists(spark, monkeypatch):
+    monkeypatch.setattr(common, "STRIDE", 16)
+    rows = [(None, "z" * 9, *[None] * 7)] * 50 + [(7, "x" * 50, *[None] * 7)] * 33
+    got = sorted(map(tuple, S.assign_shards(odd_documents(spark, rows), limit=300).collect()), key=str)
+    assert got == brute(rows, 300)
+
+
 def test_empty_table(nothing):
     assert S.assign_shards(nothing).count() == 0
 
