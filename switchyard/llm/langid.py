@@ -1,6 +1,6 @@
 """Language by hierarchical discrimination: the family first, then one-versus-one linear SVMs inside it.
 
-Features are the byte 1- to 4-grams of the lower-cased text (digits, signs and white space count as one
+Features are the byte 1- to 4-grams of the text, A-Z lowered (digits, signs and white space count as one
 blank), hashed to ``DIMENSIONS`` columns and divided by the number of letters, so a text's margin is a sum over its
 positions: prediction is one vectorised pass with table lookups over whole texts, whatever their length.
 
@@ -9,7 +9,7 @@ the dual of a bounded sample: at most ``SAMPLE`` labelled rows per language (sma
 held-out rows never).  Everything else covers all rows.
 
 Defined cases: ``und`` with score 0 for a null text, a text without a letter, or when no language could be
-learned; a single learned language is predicted with score 1; rows with null lang teach nothing; an
+learned (``keep_identified`` then drops only texts without a letter); a single learned language is predicted with score 1; rows with null lang teach nothing; an
 empty table gives an empty result; repeated rows are predicted alike; other columns are ignored.
 """
 
@@ -277,15 +277,21 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language could be told (not ``und``), with all their columns."""
+    """The rows of ``docs`` whose language could be told (not ``und``), with all their columns.
+
+    A model that could learn no language rejects only what has no letter.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            languages, _ = _predicted(model, batch.column("_text").to_pylist())
-            told = pa.array([x != "und" for x in languages], pa.bool_())
+            texts = batch.column("_text").to_pylist()
+            if model.families:
+                told = pa.array([x != "und" for x in _predicted(model, texts)[0]], pa.bool_())
+            else:
+                told = pa.array([bool(t and LETTER.search(t)) for t in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(told)
 
     texts = F.col(names[docs.columns.index(text)]).cast("string")

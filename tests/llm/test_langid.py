@@ -42,6 +42,8 @@ def test_nothing_learned(nothing, odd):
     model = L.fit(nothing)
     assert L.predict(nothing, model).count() == 0
     assert {r.lang_pred for r in L.predict(odd, model).collect()} == {"und"}
+    kept = L.keep_identified(odd, model)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in ROWS if r[0] not in (5, 6, 7, 12))
 
 
 def test_families_come_first():
