@@ -64,6 +64,9 @@ def least_count(recall: float = RECALL) -> int:
 
 def unit(flat: np.ndarray, dim: int) -> np.ndarray:
     rows = flat.astype(np.float64).reshape(-1, dim)
+    largest = np.abs(rows).max(axis=1)
+    odd = (largest > 1e140) | (largest < 1e-140)  # their squares leave the range of doubles
+    rows[odd] /= largest[odd, None]
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 

@@ -60,6 +60,12 @@ def test_odd_rows(spark):
     assert result(spark, rows) == brute(rows)
 
 
+def test_components_whose_squares_leave_the_range_of_doubles(spark):
+    rows = [(1, [1e200, 0.0], 0), (2, [1e-200, 0.0], 0), (3, [1.0, 0.1], 0), (4, [0.0, 1e-250], 0), (5, [0.0, -1e300], 0)]
+    found = D.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+
+
 def test_empty_table(spark):
     assert D.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
