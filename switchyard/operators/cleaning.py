@@ -48,20 +48,27 @@ def text_key(text: Column) -> Column:
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column], order: str) -> DataFrame:
-    """The row with the smallest ``order`` (a unique id) per key.
+    """One row per key: the smallest ``order`` (null last), any one of the rows that share it.
 
     Digests and ids are aggregated by hash (map-side combined, so a text that makes up a third of the table
     sends one row per task), then the ids that lost are taken out: texts are only moved if the losers
-    are too many to broadcast, and nothing is sorted by text.
+    are too many to broadcast, and nothing is sorted by text.  Only rows that share key and smallest id are
+    collapsed with all their columns, in map tasks first.
     """
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.withColumns(dict(zip(names, keys)))
     narrow = keyed.select(*names, F.col(order).alias("_id"))
     first = narrow.groupBy(*names).agg(F.min("_id").alias("_first"))
-    lost = join_groups(narrow, first, names).where(F.col("_id") > F.col("_first")).select(*names, "_id")
-    lost = lost.withColumnsRenamed({n: f"_lost{n}" for n in names})
-    same = [F.col(n).eqNullSafe(F.col(f"_lost{n}")) for n in names] + [F.col(order) == F.col("_id")]
-    return keyed.join(lost, same, "left_anti").select(*df.columns)
+    met = join_groups(narrow, first, names).withColumn("_wins", F.col("_id").eqNullSafe(F.col("_first")))
+    seen = met.groupBy(*names, "_id", "_wins").agg(F.count(F.lit(1)).alias("_n"))
+    seen = seen.withColumnsRenamed({n: f"_seen{n}" for n in names})
+    lost, shared = seen.where("NOT _wins"), seen.where("_wins AND _n > 1")
+    same = [F.col(n).eqNullSafe(F.col(f"_seen{n}")) for n in names] + [F.col(order).eqNullSafe(F.col("_id"))]
+    alone = keyed.join(lost.unionByName(shared), same, "left_anti").select(*df.columns)
+    # The row limit is pushed below the shuffle: of a row repeated without end, each task sends one.
+    nth = F.row_number().over(W.partitionBy(*names).orderBy(order))
+    one = keyed.join(shared, same, "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*df.columns)
+    return alone.unionByName(one)
 
 
 def dedup_exact(df: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:

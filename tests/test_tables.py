@@ -205,3 +205,19 @@ def test_dedup_keeps_smallest_id_without_sorting_texts(spark):
     kept = cleaning.dedup_exact(rows)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
     assert "SortAggregate" not in kept._jdf.queryExecution().toString()
+
+
+def test_dedup_leaves_one_row_per_text_when_ids_repeat_or_are_null(spark):
+    rows = [(7, "same", "a")] * 40 + [(9, "same", "a")] * 5 + [(None, "same", "a")] * 5
+    rows += [(None, "no id", "a")] * 30 + [(None, None, "a")] * 3 + [(5, None, "a")] * 2
+    rows += [(1, "x", "a"), (1, "y", "b"), (1, "y", "c"), (None, "z", "a"), (2, "z", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    kept = cleaning.dedup_exact(df)
+    got = kept.collect()
+    want = {"same": 7, "no id": None, None: 5, "x": 1, "y": 1, "z": 2}
+    assert len(got) == len(want) and {r.text: r.doc_id for r in got} == want
+    assert all(tuple(r) in rows for r in got)
+    assert cleaning.dedup_counts(df).first()["kept"] == len(want)
+    assert "WindowGroupLimit" in kept._jdf.queryExecution().toString()
+    messages = df.where("text IS NOT NULL").selectExpr("*", "'l' AS language", "'i' AS industry", "'s' AS scenario")
+    assert sorted(r.text for r in cleaning.dedup_within_cells(messages).collect()) == sorted(t for t in want if t)
