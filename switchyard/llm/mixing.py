@@ -9,7 +9,8 @@
    of the shard, then the first blocks of the next round.
 
 Shards are cut by a hash of the id, as many as the words need, so no source, however large, is ordered in
-one task.  Only ids, sources and sizes are shuffled.  One row per source (and per shard of a source) is
+one task.  A source that would get fewer than ``CELL_BLOCKS`` blocks of words per shard pools neighbouring shards
+until it has them, as a quota above ``MOST`` times its shard is lost: that is about a block per shard at most.  Only ids, sources and sizes are shuffled.  One row per source (and per shard of a source) is
 ranked in one task; those are a dimension of the data, not its rows.
 
 Defined cases: a null source is a source of its own and sorts last; null and empty texts have size 0 and
@@ -30,6 +31,8 @@ SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 32
 SHARD_WORDS = 500_000
+#: Words of a source per shard of it, in blocks, at least (on average); a smaller source is one shard.
+CELL_BLOCKS = 512
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -118,16 +121,23 @@ def mix_sources(
         "source", "rank", "source_size", "target", F.col("quota").alias("_source_quota")
     )
     here, there = cells.alias("c"), quotas.alias("q")
+    room = F.floor(F.col("source_size") / (CELL_BLOCKS * block_words))
+    own = F.greatest(F.lit(1), F.least(F.lit(shards), room)).cast("long")
     dealt = here.join(there, F.col("c.source").eqNullSafe(F.col("q.source"))).select(
-        "c.source", "shard", "cell_size", "rank", "source_size", "target", "_source_quota"
+        "c.source", "shard", "cell_size", "rank", "source_size", "target", "_source_quota",
+        F.floor(F.col("shard") * own / shards).cast("long").alias("pool"),  # the shard itself if own = shards
+    ).checkpoint()
+    pools = dealt.groupBy("rank", "pool").agg(
+        F.sum("cell_size").alias("pool_size"), F.first("_source_quota").alias("_source_quota")
     )
-    cell_quotas = apportion(dealt, ["rank"], "shard", "cell_size", "_source_quota")
+    pool_quotas = apportion(pools, ["rank"], "pool", "pool_size", "_source_quota").drop("_source_quota")
+    cell_quotas = dealt.drop("cell_size", "_source_quota").join(pool_quotas, ["rank", "pool"])
     a, b = placed.alias("a"), cell_quotas.alias("b")
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.shard") == F.col("b.shard"))).select(
-        "a.doc_id", "a.size", "a._digest", "b.rank", "b.shard", "b.source_size", "b.target", "b.cell_size",
-        F.least(F.col("b.quota") * block_words, F.col("b.cell_size") * MOST).alias("_quota"),
+        "a.doc_id", "a.size", "a._digest", "b.rank", "b.pool", "b.source_size", "b.target", F.col("b.pool_size").alias("cell_size"),
+        F.least(F.col("b.quota") * block_words, F.col("b.pool_size") * MOST).alias("_quota"),
     )
-    line = W.partitionBy("rank", "shard").orderBy("_digest", "doc_id", "size")
+    line = W.partitionBy("rank", "pool").orderBy("_digest", "doc_id", "size")
     end = F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0))
     rounds = F.when(F.col("cell_size") > 0, F.floor(F.col("_quota") / F.col("cell_size"))).otherwise(F.lit(0)).cast("long")
     part = F.greatest(

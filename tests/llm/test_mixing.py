@@ -64,6 +64,21 @@ def test_sources_come_near_their_targets(spark):
     assert sorted(map(tuple, found)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("words", [1, 3, 9])
+def test_small_sources_beside_a_large_one_come_near_their_targets(spark, words):
+    """A thousand shards, so a shard holds a few words of a small source, or none."""
+    rows = [(i, "w " * 40, None, "a", *[None] * 5) for i in range(3000)]
+    rows += [(10_000 + i, "w " * words, None, "bcd"[i % 3], *[None] * 5) for i in range(1200)]
+    found = M.mix_sources(odd_documents(spark, rows), shard_words=120).collect()
+    sizes, taken = {"a": 120_000, **dict.fromkeys("bcd", 400 * words)}, dict.fromkeys("abcd", 0)
+    source = {r[0]: r[3] for r in rows}
+    for r in found:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[source[r.doc_id]] += r.taken
+    want = targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 32 * (1 + sizes[s] // (512 * 32)) for s in want), (taken, want)
+
+
 def test_odd_rows(odd):
     ascii_words = [(r[0], (r[1] or ""), *r[2:]) for r in ROWS]
     check(ascii_words, M.mix_sources(odd).collect(), 64)
