@@ -6,6 +6,9 @@ kinds that a checksum or the shape leaves open and context decides: ssn (nine di
 checksum raises it, context words of the kind within 40 characters raise it, words of another reading
 ("order", "version", "invoice" ...) lower it, and it is reported at ``CUT`` or more.  Base spans are always reported.
 
+An account takes the length of its country, or else the longest end before a space or sign whose checksum passes:
+words that follow it ("BIC", "EUR 50") are not part of it.
+
 All scans are linear: runs are taken whole (possessive), and an address is searched from its "@".
 Defined cases: a null or empty text has no spans; texts are scanned whole; an empty table gives an empty
 result; repeated rows and other columns are passed over.
@@ -29,6 +32,14 @@ CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 CALL = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Length of an account number by country.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+LENGTH_OF = {country: n for n, some in ACCOUNT_LENGTHS.items() for country in some.split()}
 SOCIAL = re.compile(r"(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])")
 NEAR_CALL = re.compile(r"(?<![0-9+().-])\(?0?[0-9]{2,4}\)?[\x20-][0-9]{3,4}[\x20-]?[0-9]{3,4}(?![0-9-])")
 
@@ -60,6 +71,22 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
 
 
+def accounts(text: str) -> list[tuple[int, int]]:
+    """Start and end of every account number with a passed checksum."""
+    out, m = [], ACCOUNT.search(text)
+    while m:
+        run, ends, size = m[0], [], 0
+        for i, c in enumerate(run):  # at most 34 letters and digits
+            size += c != " "
+            if size >= 15 and c != " " and run[i + 1 : i + 2] in ("", " "):
+                ends.append((size != LENGTH_OF.get(run[:2]), -size, i + 1))
+        end = next((e for _, _, e in sorted(ends) if mod97(run[:e].replace(" ", ""))), None)
+        if end:
+            out.append((m.start(), m.start() + end))
+        m = ACCOUNT.search(text, m.start() + (end or 4))
+    return out
+
+
 def emails(text: str) -> list[Span]:
     out, free, at = [], 0, text.find("@")
     while at >= 0:
@@ -125,20 +152,15 @@ def further(text: str, base: list[Span]) -> list[Span]:
     taken, out = bytearray(len(text)), []
     for a, _, b in base:
         taken[a:b] = b"\1" * (b - a)
-    proposals = [(m, IBAN) for m in ACCOUNT.finditer(text)] + [(m, SSN) for m in SOCIAL.finditer(text)]
-    proposals += [(m, LOCAL) for m in NEAR_CALL.finditer(text)]
-    for m, kind in proposals:
-        checked = False
-        if kind == IBAN:
-            account = m[0].replace(" ", "")
-            checked = 15 <= len(account) <= 34 and mod97(account)
-            if not checked:
-                continue
-        elif kind == SSN and (m[0][:3] in ("000", "666") or m[0][0] == "9" or m[0][4:6] == "00" or m[0][-4:] == "0000"):
+    proposals = [(a, b, IBAN) for a, b in accounts(text)] + [(*m.span(), SSN) for m in SOCIAL.finditer(text)]
+    proposals += [(*m.span(), LOCAL) for m in NEAR_CALL.finditer(text)]
+    for a, b, kind in proposals:
+        found = text[a:b]
+        if kind == SSN and (found[:3] in ("000", "666") or found[0] == "9" or found[4:6] == "00" or found[-4:] == "0000"):
             continue
-        if score(text, m.start(), m.end(), kind, checked) >= CUT and not any(taken[m.start() : m.end()]):
-            out.append((m.start(), kind, m.end()))
-            taken[m.start() : m.end()] = b"\1" * len(m[0])
+        if score(text, a, b, kind, kind == IBAN) >= CUT and not any(taken[a:b]):
+            out.append((a, kind, b))
+            taken[a:b] = b"\1" * (b - a)
     return out
 
 

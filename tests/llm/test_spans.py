@@ -67,6 +67,25 @@ def test_method_adds_confirmed_spans():
     assert kinds("part 123-45-6789") == []
 
 
+@pytest.mark.parametrize("text, want", [
+    ("IBAN DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+    ("DE89370400440532013000 EUR 50", ["DE89370400440532013000"]),
+    ("GB82 WEST 1234 5698 7654 32 2024 report", ["GB82 WEST 1234 5698 7654 32"]),
+    ("DE89 3704 0044 0532 0130 00 GB82WEST12345698765432", ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]),
+    ("NO9386011117947 NO9386011117947 A", ["NO9386011117947"] * 2),
+    ("REF AB12 GB82 WEST 1234 5698 7654 32, paid", ["GB82 WEST 1234 5698 7654 32"]),
+    ("DE89370400440532013000EUR 50", []),
+    ("DE89370400440532013001 EUR 50", []),
+])
+def test_accounts_end_where_the_number_ends(text, want):
+    assert [text[a:b] for a, k, b in sorted(pii.find(text)) if k == pii.IBAN] == want
+
+
+def test_account_scan_takes_linear_time():
+    pii.find("AB12 " * 40000)
+    pii.find("A B12C DE89 " * 20000)
+
+
 def test_randomness_battery_tells_keys_from_words():
     rng = random.Random(2)
     keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=k)) for k in (24, 32, 40, 64) * 25]
