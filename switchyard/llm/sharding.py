@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from switchyard.llm.common import numbered
+from switchyard.plans.sizing import join_groups
 from switchyard.session import shared_dir
 
 LIMIT_BYTES = 16 << 20
@@ -114,8 +115,28 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return found.select("doc_id", "nth", "bytes", name.alias("shard"), "depth", "shard_bytes", "shard_rows", "oversize")
 
 
+def ranked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with _id and _nth, the rank among the rows of the id that :func:`placed` counts: by bytes, ties by place.
+
+    Rows are numbered inside the part they came in and parts are added up, so rows of one id need no common task.
+    Parts are fixed by a checkpoint, as a rerun may deal rows out anew.
+    """
+    shared_dir(docs.sparkSession)
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)).cast("long")
+    rows = docs.select(
+        "*", F.col(f"`{doc_id}`").cast("long").alias("_id"), size.alias("_bytes"),
+        F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"),
+    ).checkpoint()
+    counted = rows.groupBy("_id", "_bytes", "_part").agg(F.count(F.lit(1)).alias("_times"))
+    before = W.partitionBy("_id").orderBy("_bytes", "_part").rowsBetween(W.unboundedPreceding, -1)
+    offset = counted.withColumn("_before", F.coalesce(F.sum("_times").over(before), F.lit(0))).drop("_times")
+    inside = F.row_number().over(W.partitionBy("_id", "_bytes", "_part").orderBy("_at"))
+    joined = join_groups(rows.withColumn("_inside", inside), offset, ["_id", "_bytes", "_part"])
+    return joined.withColumn("_nth", F.col("_before") + F.col("_inside")).drop("_bytes", "_part", "_at", "_inside", "_before")
+
+
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> None:
-    """Write the rows with all columns as Parquet, one folder per shard (``shard=<bits>``); ids must be unique."""
-    shards = assign_shards(docs, doc_id, text, limit).select(F.col("doc_id").alias("_id"), "shard")
-    keyed = docs.join(shards, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    """Write the rows with all columns as Parquet, one folder per shard (``shard=<bits>``); ids may repeat."""
+    shards = assign_shards(docs, doc_id, text, limit).select(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"), "shard")
+    keyed = join_groups(ranked(docs, doc_id, text), shards, ["_id", "_nth"]).drop("_id", "_nth")
     keyed.repartition("shard").write.partitionBy("shard").parquet(path)

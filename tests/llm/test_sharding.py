@@ -57,3 +57,14 @@ def test_written_shards_hold_every_row_once(spark, tmp_path):
     S.write_shards(docs, str(tmp_path / "shards"), limit=2000)
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert sorted(r.doc_id for r in back.collect()) == list(range(300)) and set(docs.columns) < set(back.columns)
+
+
+def test_written_shards_hold_repeated_and_null_ids_once(spark, tmp_path):
+    rows = [(7, "x" * (i % 3 * 20), *[None] * 7) for i in range(60)] + [(None, "z" * 9, *[None] * 7)] * 50
+    rows += [(i, "y" * 30, *[None] * 7) for i in range(20)]
+    docs = odd_documents(spark, rows).repartition(5)
+    S.write_shards(docs, str(tmp_path / "shards"), limit=300)
+    back = spark.read.schema(docs.schema.add("shard", "string")).parquet(str(tmp_path / "shards")).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
+    got = sorted(((r.doc_id, len(r.text), r.shard) for r in back), key=str)
+    assert got == sorted(((r[0], r[2], r[3]) for r in brute(rows, 300)), key=str)
