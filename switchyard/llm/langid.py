@@ -199,7 +199,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     # ``sample`` rows per language: counted before it is broadcast, so the texts are not shuffled.
     taught = plain.join(broadcast_within(chosen), ["doc_id", "lang"], "left_semi")
-    found = arrow_pass(taught, rows_of, "doc_id long, lang string, at binary, value binary").collect()
+    taught = arrow_pass(taught, rows_of, "doc_id long, lang string, at binary, value binary").where(F.length("at") > 0)
+    # A chosen id may repeat without end: the bound holds before the rows leave Spark (and in each task before the shuffle).
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(*order, "value", "at"))
+    found = taught.withColumn("_nth", nth).where(f"_nth <= {int(sample)}").drop("_nth").collect()
     found.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["value"])))
     taken: dict[str, int] = {}
     kept = []

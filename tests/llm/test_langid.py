@@ -55,3 +55,14 @@ def test_families_come_first():
     assert [p for p in model.pairs if p[0]] == [("germanic", "de", "en"), ("romance", "es", "fr")]
     got = model.predict([t.decode() for n in names for t in texts[n]])[0]
     assert np.mean([g == n for g, n in zip(got, [n for n in names for _ in range(20)])]) > 0.95
+
+
+def test_a_repeated_id_sends_no_more_than_the_sample(spark, monkeypatch):
+    rows = [(1, f"hello there number {'abcdefgh'[i % 8]}", "en") for i in range(900)]
+    rows += [(i, "bonjour à tous", "fr") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    sent, plain = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sent.append(plain(self)) or sent[-1])
+    model = L.fit(docs, sample=20)
+    taught = [r for found in sent for r in found if "value" in r]
+    assert 0 < len(taught) <= 2 * 20 and model.families == ["germanic", "romance"]
