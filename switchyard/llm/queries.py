@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from switchyard.llm import bpe, chat, embedding_dedup, exact_dedup, langid, mixing, ngram_join, pii, secret_scan, sharding
+from switchyard.llm import (
+    bpe, chat, embedding_dedup, exact_dedup, langid, merkle, mixing, ngram_join, pii, secret_scan, sharding,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,7 +191,63 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows are presented without their line ends."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shown = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), presented={"text": shown}))
+
+
+#: Nodes of every level by recursion; a second recursion folds each presented leaf with the rest of its runs.
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, CASE WHEN xor(1, list_reduce(list_prepend(4294967295, flatten(list_transform(
+      range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+      lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END) & 1) = 0
+      THEN replace(text, chr(10), '') ELSE text END AS shown,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head
+  FROM documents),
+h AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS shown FROM d),
+l AS (
+  SELECT *, row_number() OVER () AS k, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h),
+t(level, source, pos, node, n) AS (
+  SELECT 0, source, pos, leaf, n FROM l
+  UNION ALL SELECT level + 1, source, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3
+  FROM t WHERE n > 1 GROUP BY level, source, pos // 3, n),
+s AS (
+  SELECT source, node AS subroot, count(*) OVER () AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+  FROM t WHERE n = 1),
+u(level, pos, node, n) AS (
+  SELECT 0, pos, subroot, n FROM s
+  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3
+  FROM u WHERE n > 1 GROUP BY level, pos // 3, n),
+tr AS (SELECT level, source, pos // 3 AS up, list(node ORDER BY pos) AS run FROM t WHERE n > 1 GROUP BY ALL),
+ur AS (SELECT level, pos // 3 AS up, list(node ORDER BY pos) AS run FROM u WHERE n > 1 GROUP BY ALL),
+f(k, source, level, pos, n, node, proof) AS (
+  SELECT k, source, 0, pos, n, shown, '' FROM l
+  UNION ALL SELECT f.k, f.source, f.level + 1, f.pos // 3, (f.n + 2) // 3,
+    sha256(array_to_string(run[:f.pos % 3], '') || f.node || array_to_string(run[f.pos % 3 + 2:], '')),
+    f.proof || array_to_string(run[:f.pos % 3], '') || array_to_string(run[f.pos % 3 + 2:], '')
+  FROM f JOIN tr ON tr.level = f.level AND tr.source IS NOT DISTINCT FROM f.source AND tr.up = f.pos // 3 WHERE f.n > 1),
+g(k, level, pos, n, node, proof, subroot) AS (
+  SELECT f.k, 0, s.pos, s.n, f.node, f.proof, s.subroot FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source WHERE f.n = 1
+  UNION ALL SELECT g.k, g.level + 1, g.pos // 3, (g.n + 2) // 3,
+    sha256(array_to_string(run[:g.pos % 3], '') || g.node || array_to_string(run[g.pos % 3 + 2:], '')),
+    g.proof || array_to_string(run[:g.pos % 3], '') || array_to_string(run[g.pos % 3 + 2:], ''), g.subroot
+  FROM g JOIN ur ON ur.level = g.level AND ur.up = g.pos // 3 WHERE g.n > 1)
+SELECT l.doc_id, l.leaf, g.subroot, u.node AS root, sha256(g.proof) AS proof_sha256, g.node AS folded_root,
+       g.node = u.node AS verified
+FROM l JOIN g USING (k), u WHERE g.n = 1 AND u.n = 1"""
+
+
 QUERIES = {
+    "op11_merkle": op11_merkle,
     "op2_ngram_join": op2_ngram_join,
     "op8_embeddings": op8_embeddings,
     "op4_langid": op4_langid,
@@ -200,4 +259,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
 }
-ORACLES = {"op2_ngram_join": OP2_SQL, "op8_embeddings": OP8_SQL, "op6_chat": OP6_SQL, "op10_sharding": OP10_SQL, "op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}
+ORACLES = {
+    "op2_ngram_join": OP2_SQL, "op8_embeddings": OP8_SQL, "op6_chat": OP6_SQL, "op10_sharding": OP10_SQL,
+    "op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL, "op11_merkle": OP11_SQL,
+}
