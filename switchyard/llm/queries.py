@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.llm import (
-    bpe, chat, embedding_dedup, exact_dedup, langid, merkle, mixing, ngram_join, pii, secret_scan, sharding,
+    alignment, bpe, chat, embedding_dedup, exact_dedup, langid, merkle, mixing, ngram_join, pii, secret_scan, sharding,
 )
 
 
@@ -71,10 +71,10 @@ SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN cell = 0 THEN 0 ELSE size * (quota // cell)
             + greatest(0, least(upto, quota % cell) - upto + size) END AS BIGINT) AS taken FROM o"""
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +246,13 @@ SELECT l.doc_id, l.leaf, g.subroot, u.node AS root, sha256(g.proof) AS proof_sha
 FROM l JOIN g USING (k), u WHERE g.n = 1 AND u.n = 1"""
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align_corpus(docs, vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op12_alignment": op12_alignment,
     "op11_merkle": op11_merkle,
     "op2_ngram_join": op2_ngram_join,
     "op8_embeddings": op8_embeddings,
