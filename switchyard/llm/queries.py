@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from switchyard.llm import (
     alignment, bpe, chat, embedding_dedup, exact_dedup, langid, merkle, mixing, ngram_join, pii, secret_scan, sharding,
+    warc,
 )
 
 
@@ -251,7 +252,28 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_corpus(docs, vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+#: Base32 takes five bits a letter; SHA-1 is 32 letters.
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, coalesce(url, '') AS url FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY body) AS first_id,
+         row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) AS nth,
+         array_to_string(list_transform(string_split(sha1(body), ''), lambda c: right(bin(CAST('0x' || c AS INT) + 16), 4)), '') AS bits
+  FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(
+         list_transform(string_split(substr(bits, 1 + 5 * i, 5), ''), lambda b: CAST(b AS INT)), lambda x, y: 2 * x + y), 1)), '') AS payload_digest,
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN first_id END AS refers_to
+FROM d"""
+
+
 QUERIES = {
+    "op13_warc": op13_warc,
     "op12_alignment": op12_alignment,
     "op11_merkle": op11_merkle,
     "op2_ngram_join": op2_ngram_join,
@@ -268,4 +290,5 @@ QUERIES = {
 ORACLES = {
     "op2_ngram_join": OP2_SQL, "op8_embeddings": OP8_SQL, "op6_chat": OP6_SQL, "op10_sharding": OP10_SQL,
     "op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL, "op11_merkle": OP11_SQL,
+    "op13_warc": OP13_SQL,
 }
