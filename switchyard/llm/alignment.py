@@ -41,7 +41,7 @@ from switchyard.session import scratch_path
 #: A longer run of white space is more than the rank encoder's pattern engine takes.
 SPACES = re.compile(r"\s{1000}")
 #: Bytes of text that are tokenized and divided at a time (or one text).
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -118,14 +118,25 @@ class Pairs:
                         found.add(i << 32 | j if first else j << 32 | i)
         self.keys = np.array(sorted(found), np.int64)
 
-    def __len__(self) -> int:
-        return len(self.keys)
-
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Indices of pairs that are in the list."""
         keys = a.astype(np.int64) << 32 | b
-        at = np.searchsorted(self.keys, keys)
-        assert not len(at) or (self.keys[np.minimum(at, len(self.keys) - 1)] == keys).all()
-        return at.astype(np.int32)
+        at = self._slots()[self._slot(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)  # pairs whose slot another pair has
+        at[other] = np.searchsorted(self.keys, keys[other])
+        assert (self.keys[np.minimum(at[other], len(self.keys) - 1)] == keys[other]).all()
+        return at
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
+
+    def _slots(self) -> np.ndarray:
+        if not hasattr(self, "_table"):
+            self._table = np.zeros(1 << 21, np.int32)
+            self._table[self._slot(self.keys)] = np.arange(len(self.keys))
+        return self._table
 
 
 def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -175,28 +186,26 @@ class Aligner:
             for v, signs in ((self.a, ",|"), (self.b, ",;"))
         ]
 
-    def tokens(self, text: str, b_ids: list[int]) -> tuple[list[int], list[int], int]:
+    def tokens(self, text: str, b_ids: list[int]) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides; None if they do not give back a blank and the text."""
         whole = " " + text
         data = whole.encode()
         a_ids = self.a.encode(whole)
         a, b = self.a.tokens, self.b.tokens
-        if b"".join([a[i] for i in a_ids]) != data or b"".join([b[i] for i in b_ids]) != data:
-            return [], [], 0
-        return a_ids, b_ids, len(data)
+        same = b"".join([a[i] for i in a_ids]) == data == b"".join([b[i] for i in b_ids])
+        return (a_ids, b_ids) if same else None
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
         """Per text n_a, n_b, n_groups, groups_sha256 and its links."""
         out: list = [(0, 0, 0, "", np.empty(0, np.int32))] * len(texts)
         filled = [i for i, t in enumerate(texts) if t]
-        coded = self.b.encode([texts[i] for i in filled]) if filled else []
-        a_flat, b_flat, spans, base = [], [], [], 0
-        for i, b_ids in zip(filled, coded):
-            a_ids, b_ids, size = self.tokens(texts[i], b_ids)
-            if size:
-                a_flat += a_ids
-                b_flat += b_ids
+        a_flat, b_flat, spans = [], [], []
+        for i, b_ids in zip(filled, self.b.encode([texts[i] for i in filled])):
+            ids = self.tokens(texts[i], b_ids)
+            if ids:
+                a_flat += ids[0]
+                b_flat += ids[1]
                 spans.append((i, len(a_flat), len(b_flat)))
-                base += size
         if not spans:
             return out
         a_ids, b_ids = np.array(a_flat, np.int64), np.array(b_flat, np.int64)
@@ -205,10 +214,9 @@ class Aligner:
         b_cuts = np.searchsorted(b_ends, a_ends[a_cuts])
         links = self.pairs.of(a_ids[a_cuts], b_ids[b_cuts])
         # Tokens in order of groups, first the a side: a token moves by the tokens of the other side before it.
-        a_group = np.searchsorted(a_cuts, np.arange(len(a_ids)))
-        b_group = np.searchsorted(b_cuts, np.arange(len(b_ids)))
         a_last, b_last = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
         a_last[a_cuts] = b_last[b_cuts] = 1
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
         words = np.empty(len(a_ids) + len(b_ids), object)
         words[np.arange(len(a_ids)) + np.concatenate([[0], b_cuts + 1])[a_group]] = self.names[0][a_ids + a_last * len(self.sizes[0])]
         words[np.arange(len(b_ids)) + a_cuts[b_group] + 1] = self.names[1][b_ids + b_last * len(self.sizes[1])]
