@@ -6,7 +6,7 @@ from __future__ import annotations
 def catalogue():
     """All registered queries by name."""
     from switchyard.checks import (  # noqa: F401
-        data_checks, eval_checks, feature_checks, model_checks, stream_checks,
+        data_checks, eval_checks, feature_checks, model_checks, review_checks, stream_checks,
     )
     from switchyard.checks.base import CHECKS
 
