@@ -3,11 +3,13 @@
 A token sequence is what BPE gives for a word exactly if BPE gives back every two neighbours when it
 encodes their joined bytes.  So the new words of a batch are cut greedily into longest vocabulary
 entries, all their neighbouring pairs are checked at once against a sorted array of known pairs (an
-unknown pair is decided once, by merging its own bytes), and only words with a failing pair go through the
-merge loop.  Finished words stay in a bounded memo, so a task pays for a word about once.
+unknown pair is decided once, by merging its own bytes), and only words with a failing pair are merged exactly, all of them one
+merge at a time in vectorised form.  Finished words stay in a memo of two bounded generations, so a task pays for a word about
+once.
 
 Texts are cut in pieces first: at special tokens, then before every " x" with x not white space (there the
-pre-tokenizer always cuts, whatever stands around), and only pieces not seen before meet the pattern.
+pre-tokenizer always cuts, whatever stands around), and only pieces not seen before meet the pattern.  A piece that is one
+word and the word are one entry of the memo.
 
 The vocabulary file is a parameter; it is read from the given path on the driver and shipped to the tasks
 (its size is fixed by the file).  Defined cases: a null text counts as empty and gives no ids; an empty
@@ -17,10 +19,14 @@ table gives an empty result; repeated rows and other columns are passed over row
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -30,12 +36,16 @@ from switchyard.llm.common import arrow_pass, narrow
 
 #: How a byte-level vocabulary cuts text (fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and words that a task remembers.
-MEMO = 400_000
+#: Pieces and words that a generation of a task's memo holds, and pairs that it remembers.
+MEMO = 200_000
 #: Rank of a pair that is never merged.
-NEVER = (1 << 60, -1)
+NEVER = 1 << 60
 #: Longer pieces are not remembered.
 MEMO_CHARS = 64
+#: Words of at most so many bytes are merged all at once, so many at a time.
+SHORT, STEP = 40, 20_000
+#: Stands between words and is in none.
+STOP = "\u0100"
 
 
 def byte_letters() -> list[str]:
@@ -58,12 +68,31 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens: dict[int, bytes] = {i: b for b, i in self.ids.items()}
         self.tokens.update({i: s.encode() for s, i in self.special.items()})
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # left << 32 | right: rank
+        made: list[int] = []  # by rank
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = map(raw, pair.split(" ") if isinstance(pair, str) else pair)
-            self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
-        self.longest = max(map(len, self.ids))
+            self.merges[self.ids[left] << 32 | self.ids[right]] = rank
+            made.append(self.ids[left + right])
+        self.made = np.array(made, np.int64)
         self.single = [self.ids[bytes([b])] for b in range(256)]
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
+        order = np.argsort(keys)
+        self.merge_keys, self.merge_ranks = keys[order], order  # merges are listed by rank
+
+
+#: A blank before white space or the end: there the border of a piece is not certain.
+ODD = re.compile(r" (?:\s|$)")
+BORDER = re.compile(r"(?= \S)")
+
+
+def key_of(word: str) -> str:
+    """Words and pieces as keys of the memo: one leading blank goes, another start is marked by a blank."""
+    return word[1:] if word[0] == " " and word[1:2] != " " else " " + word
+
+
+def text_of(key: str) -> str:
+    return key[1:] if key[:1] == " " else " " + key
 
 
 class Encoder:
@@ -74,135 +103,186 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         specials = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[str, bytes]] = {}
+        self.young: dict[str, tuple[str, bytes]] = {}  # key: ids joined by commas, bytes of the decoded ids
+        self.old: dict[str, tuple[str, bytes]] = {}
         self.pairs = np.empty(0, np.int64)  # sorted keys left << 32 | right
         self.fits = np.empty(0, bool)
         self.exact = 0  # words that needed merging
-
-    def merge(self, ids: list[int]) -> list[int]:
-        """The exact loop: the best-ranked pair is merged, leftmost first, until none is left."""
-        found = self.v.merges.get
-        ranked = [found(p, NEVER) for p in zip(ids, ids[1:])]
-        while ranked:
-            best = min(ranked)
-            if best is NEVER:
-                break
-            i = ranked.index(best)  # one place at a time: later places keep their rank and follow
-            ids[i : i + 2] = [best[1]]
-            del ranked[i]
-            if i:
-                ranked[i - 1] = found((ids[i - 1], ids[i]), NEVER)
-            if i < len(ranked):
-                ranked[i] = found((ids[i], ids[i + 1]), NEVER)
-        return ids
+        self.longest = ahocorasick.Automaton()
+        for data, i in vocabulary.ids.items():
+            self.longest.add_word(data.decode("latin-1"), i)
+        self.longest.make_automaton()
+        self.names = {i: str(i) for i in vocabulary.ids.values()}
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, NEVER for those that do not merge; a right side of -1 is none."""
+        keys = left << 32 | np.maximum(right, 0)
+        at = np.minimum(np.searchsorted(self.v.merge_keys, keys), len(self.v.merge_keys) - 1)
+        return np.where((self.v.merge_keys[at] == keys) & (right >= 0), self.v.merge_ranks[at], NEVER)
+
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """The exact merges of short words, all words one merge at a time: best rank first, leftmost of equals."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max()) + 1
+        ids = np.full((len(words), width), -1, np.int64)
+        ids[np.arange(width) < sizes[:, None]] = np.array(self.v.single, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full((len(words), width), NEVER, np.int64)
+        rank[:, :-1] = self.ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(words), width - 1)
+        out: list[list[int]] = [[]] * len(words)
+        rows, places = np.arange(len(words)), np.arange(width)
+        while len(rows):
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(rows)), at]
+            done = best == NEVER
+            if done.any():
+                for i, row in zip(rows[done].tolist(), ids[done].tolist()):
+                    out[i] = row[: row.index(-1)]
+                rows, ids, rank, at, best = rows[~done], ids[~done], rank[~done], at[~done], best[~done]
+                if not len(rows):
+                    break
+            each = np.arange(len(rows))
+            # The right one of the pair goes, what follows moves up.
+            source = np.minimum(places + (places > at[:, None]), width - 1)
+            ids, rank = np.take_along_axis(ids, source, 1), np.take_along_axis(rank, source, 1)
+            ids[each, at] = self.v.made[best]
+            rank[each, at] = self.ranks(ids[each, at], ids[each, at + 1])
+            before = np.flatnonzero(at)
+            rank[before, at[before] - 1] = self.ranks(ids[before, at[before] - 1], ids[before, at[before]])
+        return out
 
     def merge_long(self, data: bytes) -> list[int]:
         """The same result for long words, with a heap over linked neighbours instead of passes."""
-        import heapq
-
         merges, ids = self.v.merges, [self.v.single[b] for b in data]
         n = len(ids)
         after, before, live = [*range(1, n + 1)], [*range(-1, n - 1)], [True] * n
-        heap = [(merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        pairs = [a << 32 | b for a, b in zip(ids, ids[1:])]
+        heap = [(merges[p], i, p) for i, p in enumerate(pairs) if p in merges]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            rank, i, pair = heapq.heappop(heap)
             j = after[i] if live[i] else n
-            if j >= n or (ids[i], ids[j]) != pair:
+            if j >= n or ids[i] << 32 | ids[j] != pair:
                 continue
-            ids[i], live[j] = merges[pair][1], False
+            ids[i], live[j] = int(self.v.made[rank]), False
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (ids[a], ids[b]) in merges:
-                    heapq.heappush(heap, (merges[ids[a], ids[b]][0], a, (ids[a], ids[b])))
+                if a >= 0 and b < n and (p := ids[a] << 32 | ids[b]) in merges:
+                    heapq.heappush(heap, (merges[p], a, p))
         return [x for x, alive in zip(ids, live) if alive]
 
-    def exactly(self, data: bytes) -> list[int]:
-        self.exact += 1
-        return self.merge([self.v.single[b] for b in data]) if len(data) <= 48 else self.merge_long(data)
-
-    def propose(self, data: bytes) -> list[int]:
-        ids, out, i, n = self.v.ids, [], 0, len(data)
-        while i < n:
-            j = min(n, i + self.v.longest)
-            while data[i:j] not in ids:
-                j -= 1
-            out.append(ids[data[i:j]])
-            i = j
+    def of_bytes(self, words: list[bytes]) -> list[list[int]]:
+        """What merging makes of the bytes of every word."""
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        out: list[list[int]] = [[]] * len(words)
+        for at in range(0, len(short), STEP):
+            some = short[at : at + STEP]
+            for i, ids in zip(some, self.merge_all([words[i] for i in some])):
+                out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                out[i] = self.merge_long(w)
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Put new words into the memo."""
-        proposed = [self.propose(w.encode()) for w in words]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words, one after another: token ids, and the word of each."""
+        ends = np.cumsum([len(w) + 1 for w in words])
+        found = np.fromiter(chain.from_iterable(self.longest.iter_long(STOP.join([w.decode("latin-1") for w in words]))), np.int64).reshape(-1, 2)
+        return found[:, 1], np.searchsorted(ends, found[:, 0], "right")
+
+    def learn(self, words: list[bytes]) -> list[list[int]]:
+        """Tokens of new words."""
+        flat, owner = self.propose(words)
         inside = owner[1:] == owner[:-1]
         keys, of = ((flat[:-1] << 32) | flat[1:])[inside], owner[1:][inside]
+        failing: list[int] = []
         if len(keys):
             distinct = np.unique(keys)
+            if len(self.pairs) > 2 * self.limit:
+                self.pairs, self.fits = np.empty(0, np.int64), np.empty(0, bool)
             at = np.searchsorted(self.pairs, distinct)
             new = distinct[(at == len(self.pairs)) | (self.pairs[np.minimum(at, len(self.pairs) - 1)] != distinct)] if len(self.pairs) else distinct
             if len(new):
-                tokens = self.v.tokens
-                fit = [
-                    self.merge([self.v.single[b] for b in tokens[k >> 32] + tokens[k & 0xFFFFFFFF]])
-                    == [k >> 32, k & 0xFFFFFFFF] for k in new.tolist()
-                ]
-                pairs, fits = np.concatenate([self.pairs, new]), np.concatenate([self.fits, fit])
-                order = np.argsort(pairs, kind="stable")
-                self.pairs, self.fits = pairs[order], fits[order].astype(bool)
-            failing = of[~self.fits[np.searchsorted(self.pairs, keys)]]
-            for i in np.unique(failing).tolist():
-                proposed[i] = self.exactly(words[i].encode())
-        if len(self.words) + len(words) > self.limit:
-            self.words.clear()
-        self.words.update((w, tuple(p)) for w, p in zip(words, proposed))
+                tokens, both = self.v.tokens, list(zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist()))
+                fit = [ids == [*pair] for ids, pair in zip(self.of_bytes([tokens[a] + tokens[b] for a, b in both]), both)]
+                at = np.searchsorted(self.pairs, new)
+                self.pairs, self.fits = np.insert(self.pairs, at, new), np.insert(self.fits, at, fit)
+            failing = np.unique(of[~self.fits[np.searchsorted(self.pairs, keys)]]).tolist()
+        cuts, listed = np.searchsorted(owner, np.arange(len(words) + 1)).tolist(), flat.tolist()
+        tokens_of = [listed[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.exact += len(failing)
+        for i, ids in zip(failing, self.of_bytes([words[i] for i in failing])):
+            tokens_of[i] = ids
+        return tokens_of
 
     def cut(self, text: str) -> list[str]:
-        """Pieces at whose borders the pattern always cuts, in order."""
-        chunks = text.split(" ")
-        out = [chunks[0]]
-        for c in chunks[1:]:
-            if c and not c[0].isspace():
-                out.append(" " + c)
-            else:  # white space goes on: the border is not certain
-                out[-1] += " " + c
-        return out[1:] if not out[0] else out
-
-    def encode_batch(self, texts: list[str]) -> list[list]:
-        """Per text its pieces, each as (ids joined by commas, bytes of the decoded ids)."""
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        if len(self.pairs) > self.limit:
-            self.pairs, self.fits = np.empty(0, np.int64), np.empty(0, bool)
-        known, plans = self.pieces, []
-        fresh: dict[str, None] = {}
-        for text in texts:
-            parts = self.special.split(text) if self.special and any(s in text for s in self.v.special) else [text]
-            plan: list = []
-            for part in parts:
-                if part in self.v.special:
-                    plan.append((str(self.v.special[part]), part.encode()))
-                elif part:
-                    plan += self.cut(part)
-            plans.append(plan)
-            fresh.update(dict.fromkeys(p for p in plan if p.__class__ is str and p not in known))
-        split = {p: self.pattern.findall(p) for p in fresh}
-        new = list({w: None for ws in split.values() for w in ws if w not in self.words})
+        """Keys of the pieces, at whose borders the pattern always cuts, in order."""
+        if ODD.search(text) is None:
+            keys = text.split(" ")
+            keys[0] = " " + keys[0]
+            return keys if len(keys[0]) > 1 else keys[1:]
+        return [key_of(p) for p in BORDER.split(text) if p]
+
+    def prepare(self, keys: set[str]) -> list[str]:
+        """Bring every key into the young generation; returns new ones that are too long to stay."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, findall = self.young, self.old, self.pattern.findall
+        split: dict[str, list[str]] = {}
+        parts: set[str] = set()
+        for k in keys.difference(young):
+            if k in old:
+                young[k] = old[k]
+                continue
+            words = findall(text_of(k))
+            if len(words) > 1:
+                split[k] = [key_of(w) for w in words]
+                parts.update(split[k])
+            else:
+                parts.add(k)
+        new = []
+        for k in parts.difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(k)
         if new:
-            kept = {w: self.words[w] for ws in split.values() for w in ws if w in self.words} if len(self.words) + len(new) > self.limit else {}
-            self.learn(new)
-            self.words.update(kept)
-        local: dict[str, tuple[str, bytes]] = {}
-        tokens = self.v.tokens
-        for p, ws in split.items():
-            ids = [t for w in ws for t in self.words[w]]
-            (known if len(p) <= MEMO_CHARS else local)[p] = (",".join(map(str, ids)), b"".join(tokens[t] for t in ids))
-        return [[x if x.__class__ is tuple else known.get(x) or local[x] for x in plan] for plan in plans]
+            tokens, names = self.v.tokens, self.names
+            for k, ids in zip(new, self.learn([text_of(k).encode() for k in new])):
+                young[k] = (",".join([names[t] for t in ids]), b"".join([tokens[t] for t in ids]))
+        for k, ks in split.items():
+            entry = [young[x] for x in ks]
+            young[k] = (",".join([i for i, _ in entry]), b"".join([d for _, d in entry]))
+        return [k for k in chain(new, split) if len(k) > MEMO_CHARS]
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """Per text its ids joined by commas and the bytes of the decoded ids."""
+        plans = []
+        for text in texts:
+            if self.special and any(s in text for s in self.v.special):
+                plans.append([
+                    (str(self.v.special[part]), part.encode()) if part in self.v.special else self.cut(part)
+                    for part in self.special.split(text) if part
+                ])
+            else:
+                plans.append([self.cut(text)] if text else [])
+        keys: set[str] = set()
+        for part in chain.from_iterable(plans):
+            if part.__class__ is list:
+                keys.update(part)
+        long, known, out = self.prepare(keys), self.young, []
+        for plan in plans:
+            entries: list[tuple[str, bytes]] = []
+            for part in plan:
+                if part.__class__ is list:
+                    entries += map(known.__getitem__, part)
+                else:
+                    entries.append(part)
+            out.append((",".join([i for i, _ in entries]), b"".join([d for _, d in entries])))
+        for k in long:
+            del known[k]
+        return out
 
 
 _IN_PROCESS: dict[str, Encoder] = {}
@@ -217,7 +297,7 @@ def encoder_for(vocabulary: Vocabulary) -> Encoder:
 
 
 def encode_ids(encoder: Encoder, texts: list[str]) -> list[list[int]]:
-    return [[int(i) for ids, _ in pieces for i in ids.split(",")] for pieces in encoder.encode_batch(texts)]
+    return [[int(i) for i in ids.split(",")] if ids else [] for ids, _ in encoder.encode_batch(texts)]
 
 
 def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
@@ -233,9 +313,9 @@ def encode(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             coded = encoder.encode_batch(texts)
-            joined = [",".join([x[0] for x in pieces]) for pieces in coded]
+            joined = [ids for ids, _ in coded]
             counts = [j.count(",") + 1 if j else 0 for j in joined]
-            decoded = [b"".join([x[1] for x in pieces]).decode("utf-8", "replace") for pieces in coded]
+            decoded = [data.decode("utf-8", "replace") for _, data in coded]
             columns = [
                 batch.column("doc_id"), pa.array(counts, pa.int64()),
                 pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string()),
