@@ -43,7 +43,7 @@ NEVER = 1 << 60
 #: Longer pieces are not remembered.
 MEMO_CHARS = 64
 #: Words of at most so many bytes are merged all at once, so many at a time.
-SHORT, STEP = 40, 20_000
+SHORT, STEP = 40, 4_000
 #: Stands between words and is in none.
 STOP = "\u0100"
 
@@ -103,8 +103,10 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         specials = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        self.young: dict[str, tuple[str, bytes]] = {}  # key: ids joined by commas, bytes of the decoded ids
-        self.old: dict[str, tuple[str, bytes]] = {}
+        # Per key the ids joined by commas, and the bytes of the decoded ids.  Tables of plain strings and bytes cost the
+        # garbage collector nothing.
+        self.young: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.pairs = np.empty(0, np.int64)  # sorted keys left << 32 | right
         self.fits = np.empty(0, bool)
         self.exact = 0  # words that needed merging
@@ -226,14 +228,14 @@ class Encoder:
 
     def prepare(self, keys: set[str]) -> list[str]:
         """Bring every key into the young generation; returns new ones that are too long to stay."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, findall = self.young, self.old, self.pattern.findall
+        if len(self.young[0]) > self.limit:
+            self.old, self.young = self.young, ({}, {})
+        (ids, data), (old_ids, old_data), findall = self.young, self.old, self.pattern.findall
         split: dict[str, list[str]] = {}
         parts: set[str] = set()
-        for k in keys.difference(young):
-            if k in old:
-                young[k] = old[k]
+        for k in keys.difference(ids):
+            if k in old_ids:
+                ids[k], data[k] = old_ids[k], old_data[k]
                 continue
             words = findall(text_of(k))
             if len(words) > 1:
@@ -242,18 +244,19 @@ class Encoder:
             else:
                 parts.add(k)
         new = []
-        for k in parts.difference(young):
-            if k in old:
-                young[k] = old[k]
+        for k in parts.difference(ids):
+            if k in old_ids:
+                ids[k], data[k] = old_ids[k], old_data[k]
             else:
                 new.append(k)
         if new:
             tokens, names = self.v.tokens, self.names
-            for k, ids in zip(new, self.learn([text_of(k).encode() for k in new])):
-                young[k] = (",".join([names[t] for t in ids]), b"".join([tokens[t] for t in ids]))
+            for k, found in zip(new, self.learn([text_of(k).encode() for k in new])):
+                ids[k] = ",".join([names[t] for t in found])
+                data[k] = b"".join([tokens[t] for t in found])
         for k, ks in split.items():
-            entry = [young[x] for x in ks]
-            young[k] = (",".join([i for i, _ in entry]), b"".join([d for _, d in entry]))
+            ids[k] = ",".join([ids[x] for x in ks])
+            data[k] = b"".join([data[x] for x in ks])
         return [k for k in chain(new, split) if len(k) > MEMO_CHARS]
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, bytes]]:
@@ -271,17 +274,20 @@ class Encoder:
         for part in chain.from_iterable(plans):
             if part.__class__ is list:
                 keys.update(part)
-        long, known, out = self.prepare(keys), self.young, []
+        long, (ids, data), out = self.prepare(keys), self.young, []
         for plan in plans:
-            entries: list[tuple[str, bytes]] = []
+            names: list[str] = []
+            decoded: list[bytes] = []
             for part in plan:
                 if part.__class__ is list:
-                    entries += map(known.__getitem__, part)
+                    names += map(ids.__getitem__, part)
+                    decoded += map(data.__getitem__, part)
                 else:
-                    entries.append(part)
-            out.append((",".join([i for i, _ in entries]), b"".join([d for _, d in entries])))
+                    names.append(part[0])
+                    decoded.append(part[1])
+            out.append((",".join(names), b"".join(decoded)))
         for k in long:
-            del known[k]
+            del ids[k], data[k]
         return out
 
 
