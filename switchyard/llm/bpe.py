@@ -37,13 +37,15 @@ from switchyard.llm.common import arrow_pass, narrow
 #: How a byte-level vocabulary cuts text (fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and words that a generation of a task's memo holds, and pairs that it remembers.
-MEMO = 200_000
+MEMO = 400_000
 #: Rank of a pair that is never merged.
 NEVER = 1 << 60
 #: Longer pieces are not remembered.
 MEMO_CHARS = 64
 #: Words of at most so many bytes are merged all at once, so many at a time.
 SHORT, STEP = 40, 4_000
+#: Single words of the pattern when they follow letters.
+MARKS = frozenset(".,;:!?")
 #: Stands between words and is in none.
 STOP = "\u0100"
 
@@ -103,10 +105,9 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         specials = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        # Per key the ids joined by commas, and the bytes of the decoded ids.  Tables of plain strings and bytes cost the
-        # garbage collector nothing.
-        self.young: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        # Ids joined by commas, by key; a table of plain strings costs the garbage collector nothing.
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
         self.pairs = np.empty(0, np.int64)  # sorted keys left << 32 | right
         self.fits = np.empty(0, bool)
         self.exact = 0  # words that needed merging
@@ -115,6 +116,7 @@ class Encoder:
             self.longest.add_word(data.decode("latin-1"), i)
         self.longest.make_automaton()
         self.names = {i: str(i) for i in vocabulary.ids.values()}
+        self.bytes_of = {str(i): data for i, data in vocabulary.tokens.items()}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, NEVER for those that do not merge; a right side of -1 is none."""
@@ -226,68 +228,68 @@ class Encoder:
             return keys if len(keys[0]) > 1 else keys[1:]
         return [key_of(p) for p in BORDER.split(text) if p]
 
+    def parts_of(self, key: str) -> list[str]:
+        """Keys of the words of a piece."""
+        if key.isalpha():
+            return [key]
+        if key[-1:] in MARKS and key[:-1].isalpha():
+            return [key[:-1], " " + key[-1]]
+        return [key_of(w) for w in self.pattern.findall(text_of(key))]
+
     def prepare(self, keys: set[str]) -> list[str]:
-        """Bring every key into the young generation; returns new ones that are too long to stay."""
-        if len(self.young[0]) > self.limit:
-            self.old, self.young = self.young, ({}, {})
-        (ids, data), (old_ids, old_data), findall = self.young, self.old, self.pattern.findall
+        """Bring keys that are not there into the young generation; returns those that are too long to stay."""
+        young, old = self.young, self.old
         split: dict[str, list[str]] = {}
-        parts: set[str] = set()
-        for k in keys.difference(ids):
-            if k in old_ids:
-                ids[k], data[k] = old_ids[k], old_data[k]
+        words: set[str] = set()
+        for k in keys:
+            if k in old:
+                young[k] = old[k]
                 continue
-            words = findall(text_of(k))
-            if len(words) > 1:
-                split[k] = [key_of(w) for w in words]
-                parts.update(split[k])
+            found = self.parts_of(k)
+            if len(found) > 1:
+                split[k] = found
+                words.update(found)
             else:
-                parts.add(k)
+                words.add(k)
         new = []
-        for k in parts.difference(ids):
-            if k in old_ids:
-                ids[k], data[k] = old_ids[k], old_data[k]
+        for k in words.difference(young):
+            if k in old:
+                young[k] = old[k]
             else:
                 new.append(k)
         if new:
-            tokens, names = self.v.tokens, self.names
-            for k, found in zip(new, self.learn([text_of(k).encode() for k in new])):
-                ids[k] = ",".join([names[t] for t in found])
-                data[k] = b"".join([tokens[t] for t in found])
+            names = self.names
+            for k, ids in zip(new, self.learn([text_of(k).encode() for k in new])):
+                young[k] = ",".join([names[t] for t in ids])
         for k, ks in split.items():
-            ids[k] = ",".join([ids[x] for x in ks])
-            data[k] = b"".join([data[x] for x in ks])
+            young[k] = ",".join([young[x] for x in ks])
         return [k for k in chain(new, split) if len(k) > MEMO_CHARS]
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """Per text its ids joined by commas and the bytes of the decoded ids."""
+    def decode(self, joined: str) -> str:
+        """The text of ids joined by commas."""
+        return b"".join(map(self.bytes_of.__getitem__, joined.split(","))).decode("utf-8", "replace") if joined else ""
+
+    def encode_batch(self, texts: list[str]) -> list[str]:
+        """Per text its ids joined by commas."""
         plans = []
         for text in texts:
             if self.special and any(s in text for s in self.v.special):
                 plans.append([
-                    (str(self.v.special[part]), part.encode()) if part in self.v.special else self.cut(part)
+                    str(self.v.special[part]) if part in self.v.special else self.cut(part)
                     for part in self.special.split(text) if part
                 ])
             else:
                 plans.append([self.cut(text)] if text else [])
-        keys: set[str] = set()
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        missing: set[str] = set()
         for part in chain.from_iterable(plans):
             if part.__class__ is list:
-                keys.update(part)
-        long, (ids, data), out = self.prepare(keys), self.young, []
-        for plan in plans:
-            names: list[str] = []
-            decoded: list[bytes] = []
-            for part in plan:
-                if part.__class__ is list:
-                    names += map(ids.__getitem__, part)
-                    decoded += map(data.__getitem__, part)
-                else:
-                    names.append(part[0])
-                    decoded.append(part[1])
-            out.append((",".join(names), b"".join(decoded)))
+                missing.update([k for k in part if k not in self.young])
+        long, get = self.prepare(missing), self.young.__getitem__
+        out = [",".join([",".join(map(get, part)) if part.__class__ is list else part for part in plan]) for plan in plans]
         for k in long:
-            del ids[k], data[k]
+            del self.young[k]
         return out
 
 
@@ -303,7 +305,7 @@ def encoder_for(vocabulary: Vocabulary) -> Encoder:
 
 
 def encode_ids(encoder: Encoder, texts: list[str]) -> list[list[int]]:
-    return [[int(i) for i in ids.split(",")] if ids else [] for ids, _ in encoder.encode_batch(texts)]
+    return [[int(i) for i in ids.split(",")] if ids else [] for ids in encoder.encode_batch(texts)]
 
 
 def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
@@ -318,10 +320,9 @@ def encode(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text:
         encoder = encoder_for(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            coded = encoder.encode_batch(texts)
-            joined = [ids for ids, _ in coded]
+            joined = encoder.encode_batch(texts)
             counts = [j.count(",") + 1 if j else 0 for j in joined]
-            decoded = [data.decode("utf-8", "replace") for _, data in coded]
+            decoded = [encoder.decode(j) for j in joined]
             columns = [
                 batch.column("doc_id"), pa.array(counts, pa.int64()),
                 pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string()),
