@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from switchyard.checks.base import check, r6, table
-from switchyard.operators import neighbours, places
+from switchyard.checks.base import PREDICTIONS_SQL, check, predictions, r6, table
+from switchyard.operators import metrics, neighbours, places, sketches
+from switchyard.session import scratch_path
 
 NEAREST_SQL = """u AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -73,3 +74,49 @@ def _(spark, sf):
     word = F.split("text", " ")
     names = table(spark, sf, "benchmark").select(F.col("item_id").alias("name_id"), F.concat_ws(" ", word[1], word[2]).alias("name"))
     return r6(places.place_names(table(spark, sf, "documents"), names), "score")
+
+
+SPAN = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@check(
+    "latency_sketches",
+    """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max, true AS p50_close, true AS p95_close, true AS p99_close
+       FROM events WHERE value IS NOT NULL GROUP BY 1""",
+)
+def _(spark, sf):
+    """Daily sketches, written, read and merged over all days; every quantile's exact rank is near the one asked for."""
+    events = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    path = scratch_path(spark, "sketches")
+    sketches.latency_sketches(events, "value", ["event_type"], "day").write.parquet(path)
+    merged = sketches.merged_quantiles(spark.read.parquet(path), SPAN, ["event_type"])
+    off = sketches.rank_errors(events, "value", merged, SPAN, ["event_type"])
+    close = off.select("event_type", *[(F.col(n) <= sketches.RANK_ERROR).alias(f"{n}_close") for n in SPAN])
+    return r6(merged.select("event_type", "n", "mean", "max"), "mean").join(close, "event_type")
+
+
+@check(
+    "binned_auc",
+    f"""WITH {PREDICTIONS_SQL},
+        b AS (SELECT experiment_id, CAST(least(99, floor(score * 100)) AS INTEGER) AS bin, count(*) FILTER (label = 1) AS ones,
+                     count(*) FILTER (label = 0) AS zeros FROM p GROUP BY ALL),
+        c AS (SELECT *, coalesce(sum(zeros) OVER (PARTITION BY experiment_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b),
+        e AS (SELECT experiment_id, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) AS exact
+              FROM p x JOIN p y USING (experiment_id) WHERE x.label = 1 AND y.label = 0 GROUP BY 1)
+        SELECT experiment_id, round(sum(ones * below + ones * zeros / 2.0) / (sum(ones) * sum(zeros)), 6) AS auc,
+               round(sum(ones * zeros / 2.0) / (sum(ones) * sum(zeros)), 6) AS error_bound,
+               CAST(sum(ones) AS BIGINT) AS ones, CAST(sum(zeros) AS BIGINT) AS zeros,
+               abs(sum(ones * below + ones * zeros / 2.0) / (sum(ones) * sum(zeros)) - any_value(exact))
+                 <= sum(ones * zeros / 2.0) / (sum(ones) * sum(zeros)) + 1e-9 AS within
+        FROM c JOIN e USING (experiment_id) GROUP BY 1""",
+)
+def _(spark, sf):
+    """100 bins, merged from two halves of the rows; the exact value lies within the bound."""
+    rows = predictions(spark, sf)
+    path = scratch_path(spark, "bins")
+    half = F.col("doc_id") % 2
+    sketches.score_bins(rows.withColumn("day", half), ["experiment_id", "day"], bins=100).write.parquet(path)
+    found = sketches.binned_auc(spark.read.parquet(path), ["experiment_id"])
+    exact = metrics.roc_auc(rows, by=["experiment_id"]).withColumnRenamed("roc_auc", "_exact")
+    within = F.abs(F.col("auc") - F.col("_exact")) <= F.col("error_bound") + 1e-9
+    return r6(found.join(exact, "experiment_id").withColumn("within", within).drop("_exact"), "auc", "error_bound")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from switchyard.functions import text as tx
 from switchyard.plans.sizing import join_groups
+from switchyard.session import shared_dir
 
 
 def _require(df: DataFrame, names: Sequence[str]) -> None:
@@ -50,21 +51,23 @@ def text_key(text: Column) -> Column:
 def keep_first(df: DataFrame, keys: Sequence[Column], order: str) -> DataFrame:
     """One row per key: the smallest ``order`` (null last), any one of the rows that share it.
 
-    Digests and ids are aggregated by hash (map-side combined, so a text that makes up a third of the table
-    sends one row per task), then the ids that lost are taken out: texts are only moved if the losers
-    are too many to broadcast, and nothing is sorted by text.  Only rows that share key and smallest id are
-    collapsed with all their columns, in map tasks first.
+    The rows are read twice.  First only digests and ids, which are counted by hash (map-side combined, so a text that makes
+    up a third of the table under one id sends one row per task) and checkpointed together with what is decided on them.
+    Then the ids that lost are taken out of the rows: texts are only moved if the losers are too many to broadcast, and
+    nothing is sorted by text.  Only if several rows share key and smallest id a third pass collapses those, in map tasks first.
     """
+    shared_dir(df.sparkSession)
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.withColumns(dict(zip(names, keys)))
-    narrow = keyed.select(*names, F.col(order).alias("_id"))
-    first = narrow.groupBy(*names).agg(F.min("_id").alias("_first"))
-    met = join_groups(narrow, first, names).withColumn("_wins", F.col("_id").eqNullSafe(F.col("_first")))
-    seen = met.groupBy(*names, "_id", "_wins").agg(F.count(F.lit(1)).alias("_n"))
-    seen = seen.withColumnsRenamed({n: f"_seen{n}" for n in names})
-    lost, shared = seen.where("NOT _wins"), seen.where("_wins AND _n > 1")
+    seen = keyed.groupBy(*names, F.col(order).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    first = seen.groupBy(*names).agg(F.min("_id").alias("_first"))
+    met = join_groups(seen, first, names).withColumn("_wins", F.col("_id").eqNullSafe(F.col("_first")))
+    marked = met.where("NOT _wins OR _n > 1").select(*[F.col(n).alias(f"_seen{n}") for n in names], "_id", "_wins").checkpoint()
     same = [F.col(n).eqNullSafe(F.col(f"_seen{n}")) for n in names] + [F.col(order).eqNullSafe(F.col("_id"))]
-    alone = keyed.join(lost.unionByName(shared), same, "left_anti").select(*df.columns)
+    alone = keyed.join(marked, same, "left_anti").select(*df.columns)
+    shared = marked.where("_wins")
+    if shared.isEmpty():
+        return alone
     # The row limit is pushed below the shuffle: of a row repeated without end, each task sends one.
     nth = F.row_number().over(W.partitionBy(*names).orderBy(order))
     one = keyed.join(shared, same, "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*df.columns)
