@@ -35,8 +35,8 @@ from switchyard.session import scratch_path, shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words of text in one shard, about; shards are two at least so that averaging is always the same code.
-SHARD_WORDS = 250_000
+#: Words of text in one shard, about, which with their vectors is what a task holds; there are two shards at least.
+SHARD_WORDS = 100_000
 #: Noise words that a shard draws per epoch.
 NOISE = 8_000
 #: Words whose vectors may be broadcast.
@@ -47,8 +47,8 @@ COPIES = 4096
 SAMPLE = 1e-3
 #: Learning rate at the start and at the end.
 RATES = (0.025, 0.0001)
-#: Words that are trained on together.
-STEP = 1024
+#: Words that are trained on together, and how often one row may move in full in that time.
+STEP, ROOM = 128, 8
 
 
 def train_shard(
@@ -94,11 +94,15 @@ def train_shard(
 
 
 def _add(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add values to rows of a table; rows may repeat."""
+    """Add values to rows of a table; a row that repeats more than ROOM times in a step moves by ROOM times its mean.
+
+    All values come from the state before the step; without the limit a word that fills the step would overshoot.
+    """
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    table[rows[starts]] += np.add.reduceat(values[order], starts, axis=0)
+    often = np.diff(np.append(starts, len(rows)))
+    table[rows[starts]] += np.add.reduceat(values[order], starts, axis=0) * np.minimum(1.0, ROOM / often)[:, None].astype(np.float32)
 
 
 def _shards(words: DataFrame, size: int) -> int:
@@ -128,7 +132,7 @@ def fit_vectors(
     last = F.least(F.col("_first") + COPIES, F.col("_times")) - 1
     copies = words.select("words", "_times", first).select("words", F.explode(F.sequence(F.col("_first"), last)).alias("_copy"))
     named = copies.select("words", F.xxhash64("words", "_copy", F.lit(seed)).alias("hash"))
-    dealt = named.withColumn("shard", F.pmod(F.col("hash"), F.lit(shards)).cast("int")).repartition(shards, "shard").checkpoint()
+    dealt = named.withColumn("shard", F.pmod(F.col("hash"), F.lit(shards)).cast("int")).repartition("shard").checkpoint()
     counts = dealt.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).checkpoint()
     totals = counts.agg(F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(0.75))).alias("power")).first()
     if not totals["n"]:
@@ -147,8 +151,8 @@ def fit_vectors(
         asked = held.select("shard", "word", "here", F.lit(0).cast("long").alias("noise")).unionByName(
             drawn.select("shard", "word", F.lit(0).cast("long").alias("here"), "noise")
         ).groupBy("shard", "word").agg(F.sum("here").alias("here"), F.sum("noise").alias("noise"))
-        given = asked.join(table, "word").select("shard", "word", "here", "noise", "keep", "vector", "output")
-        trained = dealt.select("shard", "hash", "words").groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(
+        given = asked.join(table, "word").select(F.col("shard").alias("place"), "word", "here", "noise", "keep", "vector", "output")
+        trained = dealt.select("shard", "hash", "words").groupBy("shard").cogroup(given.groupBy("place")).applyInArrow(
             _trainer(window, negative, rates, seed, epoch),
             "word string, shard int, here long, vector array<float>, output array<float>",
         )
