@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from switchyard.checks.base import ANY_SCRIPT_SQL, SCORE_SQL, SCRIPTS, check, r6, score_column, table
+from switchyard.checks.base import ANY_SCRIPT_SQL, SCORE_SQL, SCRIPTS, STRIP_SQL, check, r6, score_column, table
 from switchyard.session import scratch_path
+from switchyard.streaming import cells
 from switchyard.streaming import messages as st
 
 
@@ -83,3 +84,25 @@ def _(spark, sf):
 @check("stream_share_sliding", SHARE_SQL.format(backs=2, width=2))
 def _(spark, sf):
     return _share(spark, sf, "2 days", "1 day")
+
+
+@check(
+    "stream_fill_cells",
+    f"""WITH d AS (SELECT concat_ws('__', lang, 'all', 'all') AS cell_id, {STRIP_SQL} AS t FROM documents)
+        SELECT cell_id, CAST(150 AS BIGINT) AS target, count(*) AS seen, count(*) FILTER (t = '') AS empty,
+               least(150, count(DISTINCT t) FILTER (t <> '')) AS kept, greatest(0, 150 - count(DISTINCT t) FILTER (t <> '')) AS missing
+        FROM d GROUP BY 1""",
+)
+def _(spark, sf):
+    """Every language takes 150 different texts from the stream; the counters are read from the checkpoint."""
+    all_ = F.lit("all")
+    plan = table(spark, sf, "documents").select(F.col("lang").alias("language")).distinct().select(
+        "language", all_.alias("industry"), all_.alias("scenario"), F.lit(150).alias("target_count")
+    )
+    stream = _stream(spark, sf, "documents").select(
+        "doc_id", "text", F.col("lang").alias("language"), all_.alias("industry"), all_.alias("scenario"),
+        F.lit("2024-01-01").cast("timestamp").alias("ts"),
+    )
+    root = scratch_path(spark, "fill")
+    st.append_available(cells.fill_cells(stream, plan), f"{root}/out", f"{root}/checkpoint")
+    return cells.state_of_cells(spark, f"{root}/checkpoint").select("cell_id", "target", "seen", "empty", "kept", "missing")
