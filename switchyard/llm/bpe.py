@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -111,6 +110,8 @@ class Encoder:
         self.pairs = np.empty(0, np.int64)  # sorted keys left << 32 | right
         self.fits = np.empty(0, bool)
         self.exact = 0  # words that needed merging
+        import ahocorasick  # in tasks only
+
         self.longest = ahocorasick.Automaton()
         for data, i in vocabulary.ids.items():
             self.longest.add_word(data.decode("latin-1"), i)

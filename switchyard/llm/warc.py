@@ -16,6 +16,8 @@ Reading takes that table only for the paths: dictionary, frames and header field
 checked against their digests, and a file is streamed with one record in memory.  A ``revisit`` record has the headers of
 the page (with the full length) and refers to the response; ``restore`` joins the payload back.
 
+Compression and file systems are loaded where they are used, in tasks: the driver needs neither.
+
 Archives go to a folder that all executors reach (any file system that Arrow can open).
 
 Defined cases: a null payload is empty and comes back empty; empty payloads are copies of each other; payloads below
@@ -35,8 +37,6 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +97,8 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, place: str
 
 def build_dictionary(records: list[bytes]) -> bytes:
     """A trained dictionary, or plain bytes of the records if they are too few or too small to train on."""
+    import zstandard
+
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
     except zstandard.ZstdError:
@@ -112,7 +114,7 @@ class Archive:
             ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields"),
         ], b"format: WARC File Format 1.1\r\n")]
         self.held = 0
-        self.compressor: zstandard.ZstdCompressor | None = None
+        self.compressor = None  # there once the dictionary is written
 
     def add(self, record: bytes) -> None:
         self.records += 1
@@ -129,6 +131,8 @@ class Archive:
             self._begin()
 
     def _begin(self) -> None:
+        import zstandard
+
         data = build_dictionary(self.first)
         self._write(struct.pack("<II", DICTIONARY_FRAME, len(data)) + data)
         shared = zstandard.ZstdCompressionDict(data)
@@ -144,6 +148,8 @@ class Archive:
 
 def read_records(stream) -> Iterator[bytes]:
     """The records of an archive, one in memory at a time."""
+    import zstandard
+
     magic, size = struct.unpack("<II", stream.read(8))
     if magic != DICTIONARY_FRAME:
         raise ValueError("the archive does not begin with a dictionary")
@@ -207,6 +213,8 @@ def write_archives(
     target = full_uri(spark, folder)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         store, base = fs.FileSystem.from_uri(target)
         store.create_dir(f"{base}/archives", recursive=True)
         task = TaskContext.get()
@@ -256,6 +264,8 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> D
     target = full_uri(archives.sparkSession, folder)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         store, base = fs.FileSystem.from_uri(target)
         for batch in batches:
             for path in batch.column(0).to_pylist():
