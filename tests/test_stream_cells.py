@@ -73,3 +73,15 @@ def test_a_waiting_cell_reports_its_gap(spark, tmp_path, plan):
     run(spark, *paths, plan, wait=60_000)
     gaps = [tuple(r) for r in spark.read.parquet(paths[1]).where("kind = 'gap'").select("cell_id", "missing").collect()]
     assert gaps == [("si__bank__simple", 4)]
+
+
+def test_a_session_with_the_default_state_store_will_do(spark, tmp_path, plan):
+    paths = [str(tmp_path / n) for n in ("in", "out", "state")]
+    spark.createDataFrame(ROWS, SCHEMA).coalesce(1).write.parquet(paths[0])
+    before = spark.conf.get(S.STORE[0])
+    spark.conf.set(S.STORE[0], "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        run(spark, *paths, plan)
+        assert {r.cell_id: r.kept for r in S.state_of_cells(spark, paths[2]).collect()} == {"en__bank__simple": 3, "si__bank__simple": 2}
+    finally:
+        spark.conf.set(S.STORE[0], before)
