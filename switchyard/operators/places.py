@@ -7,12 +7,13 @@ The gazetteer is indexed by segments.  For a name and a length of window the thr
 ``t + 1`` segments of the name one stands unchanged in any matching window, and how far it can have moved is known.  Every
 segment becomes a 64-bit key (lengths, segment number, text).
 
-1. One pass over the messages cuts windows, looks the keys of their substrings up in a bit table of fixed size and keeps the windows
-   that hit (every matching window does).
-2. The distinct windows kept meet the index in an equi-join on the key, and each (window, name) is verified once.
-3. Matches go back to the messages by window: broadcast if they are few (counted), else shuffled.
+1. One pass over the messages cuts windows and looks the keys of their substrings up in a bit table of fixed size (every matching window hits).
+2. An index of up to ``INDEX_KEYS`` rows (counted) goes along with the pass: hits meet its names at once, and only matches leave the task.
+   With a larger one the windows that hit are kept, and the distinct ones meet the index in an equi-join on the key.
+3. Either way a pair is first held against a lower bound of its edits, the difference of character counts in ``CLASSES`` classes; what is left is
+   verified, and matches go back to the messages by window: broadcast if they are few (counted), else shuffled.
 
-Nothing but the bit table (4 MB) and the list of name lengths leaves the cluster, whatever the sizes of the tables.
+Nothing but the bit table (4 MB), an index of at most that many rows and the list of name lengths leaves the cluster, whatever the sizes of the tables.
 
 Defined cases: null or wordless messages and names match nothing; names that repeat are matched under each id; null ids stay; messages that
 repeat an id count together; an empty gazetteer gives an empty result.
@@ -45,6 +46,8 @@ TABLE_BITS = 25
 BATCH_ROWS = 256
 #: Words of one text that are cut at a time, and windows that are looked up at a time.
 STEP_WORDS, STEP_WINDOWS = 50_000, 150_000
+#: Rows of the index that may go along with the pass over the messages, pairs that are looked at together, and classes of characters.
+INDEX_KEYS, STEP_PAIRS, CLASSES = 200_000, 200_000, 32
 WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -134,6 +137,28 @@ class Texts:
                     yield self.key(at, size, la, lb, k)
 
 
+def class_counts(texts: Sequence[str]) -> np.ndarray:
+    """How often characters of every class occur, one row per text.
+
+    The sum of differences between two rows is at most the number of characters to insert and delete.
+    """
+    out = np.zeros((len(texts), CLASSES), np.int32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    np.add.at(out.reshape(-1), np.repeat(np.arange(len(texts)), sizes) * CLASSES + chars % CLASSES, 1)
+    return out
+
+
+def near_pairs(group: Sequence[str], names: Sequence[str], a: np.ndarray, b: np.ndarray, counts: tuple, threshold: int) -> np.ndarray:
+    """Which pairs (windows of one length, names) the difference of character counts allows to match."""
+    room = np.array([edits(len(group[0]), len(n), threshold) for n in names], np.int64)
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), STEP_PAIRS):
+        x, y = a[at : at + STEP_PAIRS], b[at : at + STEP_PAIRS]
+        out[at : at + STEP_PAIRS] = np.abs(counts[0][x] - counts[1][y]).sum(axis=1) <= room[y]
+    return out
+
+
 def by_length(texts: Sequence[str]) -> Iterator[list[str]]:
     groups: dict[int, list[str]] = {}
     for t in texts:
@@ -194,24 +219,56 @@ def place_names(
     shared_dir(spark)
     index = place_index(gazetteer, name_id, name, threshold).checkpoint()
     lengths = sorted(r[0] for r in index.select(F.length("name")).distinct().collect())
-    shared = spark.sparkContext.broadcast((bit_table(index), lengths))
+    carried = None
+    if index.count() <= INDEX_KEYS:
+        rows = index.select("name", "key").distinct().sort("key", "name").toArrow()
+        found = rows["name"].combine_chunks().dictionary_encode()
+        plain_names = found.dictionary.to_pylist()
+        carried = rows["key"].to_numpy().view(np.uint64), found.indices.to_numpy(), plain_names, class_counts(plain_names)
+        order = np.argsort(carried[0], kind="stable")
+        carried = carried[0][order], carried[1][order], *carried[2:]
+    shared = spark.sparkContext.broadcast((bit_table(index), lengths, carried))
+
+    def matching(group: list[str], probes: Iterator[np.ndarray], table: np.ndarray, index: tuple) -> Iterator[tuple[str, str, float]]:
+        """window, name and score of all matches of windows of one length."""
+        keys, owner, names, counts = index
+        pairs = []
+        for asked in probes:
+            at = np.flatnonzero(known(table, asked))
+            low, high = (np.searchsorted(keys, asked[at], side) for side in ("left", "right"))
+            some = high > low
+            at, low, size = at[some], low[some], (high - low)[some]
+            if len(at):
+                which = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                pairs.append(np.unique(np.repeat(at, size) * len(names) + owner[which]))
+        if pairs:
+            a, b = np.divmod(np.unique(np.concatenate(pairs)), len(names))
+            near = near_pairs(group, names, a, b, (class_counts(group), counts), threshold)
+            for i, j in zip(a[near].tolist(), b[near].tolist()):
+                score = indel_ratio(group[i], names[j])
+                if score >= threshold:
+                    yield group[i], names[j], score
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lengths = shared.value
+        table, lengths, index = shared.value
 
         def passed(cuts: list[tuple[object, list[str]]], kind: pa.DataType) -> pa.RecordBatch:
-            kept: set[str] = set()
+            kept: dict[str, list] = {}
             for group in by_length({w for _, c in cuts for w in c}):
                 possible = [n for n in lengths if edits(len(group[0]), n, threshold) >= 0]
-                if possible:
+                if possible and index:
+                    for w, n, score in matching(group, Texts(group).probes(possible, threshold), table, index):
+                        kept.setdefault(w, []).append((n, score))
+                elif possible:
                     hit = np.zeros(len(group), np.uint8)
                     for keys in Texts(group).probes(possible, threshold):
                         hit |= known(table, keys)
-                    kept.update(group[i] for i in np.flatnonzero(hit))
-            rows = [(i, w, n) for i, c in cuts for w, n in Counter(x for x in c if x in kept).items()]
-            kinds = (kind, pa.string(), pa.int64())
+                    kept.update((group[i], [()]) for i in np.flatnonzero(hit))
+            rows = [(i, w, n, *m) for i, c in cuts for w, n in Counter(x for x in c if x in kept).items() for m in kept[w]]
+            kinds = (kind, pa.string(), pa.int64(), *((pa.string(), pa.float64()) if index else ()))
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "window", "times"]
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
+                names=["doc_id", "window", "times", "name", "score"][: len(kinds)],
             )
 
         for batch in batches:
@@ -227,7 +284,7 @@ def place_names(
                 yield passed(cuts, kind)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lengths = shared.value
+        table, lengths, _ = shared.value
         for batch in batches:
             for group in by_length(batch.column(0).to_pylist()):
                 texts = np.array(group, object)
@@ -238,12 +295,22 @@ def place_names(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [indel_ratio(a, b) for a, b in zip(batch.column("window").to_pylist(), batch.column("name").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
+            windows, names = batch.column("window").to_pylist(), batch.column("name").to_pylist()
+            room = np.array([edits(len(a), len(b), threshold) for a, b in zip(windows, names)], np.int64)
+            near = np.flatnonzero(np.abs(class_counts(windows) - class_counts(names)).sum(axis=1) <= room)
+            found = [indel_ratio(windows[i], names[i]) for i in near]
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(near)).columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     plain = messages.select(F.col(f"`{doc_id}`").alias("doc_id"), F.lower(F.col(f"`{text}`").cast("string")).alias("text"))
     kinds = [plain.schema["doc_id"].dataType.simpleString(), index.schema["name_id"].dataType.simpleString()]
+    best = F.min_by("window", F.struct(-F.col("score"), "window"))
+    totals = F.sum("times").alias("hits"), F.max("score").alias("score"), best.alias("best")
+    if carried:
+        # Few rows: one per match of a piece of a text.
+        matched = plain.mapInArrow(cut, f"doc_id {kinds[0]}, window string, times long, name string, score double")
+        ids = broadcast_within(index.select("name_id", "name").distinct())
+        return matched.join(ids, "name").groupBy("doc_id", "name_id", "name").agg(*totals)
     path = scratch_path(spark, "windows")
     plain.mapInArrow(cut, f"doc_id {kinds[0]}, window string, times long").write.parquet(path)
     held = spark.read.parquet(path)
@@ -251,7 +318,4 @@ def place_names(
     candidates = asked.join(index, "key").select("window", "name_id", "name").distinct()
     scored = candidates.mapInArrow(score, f"window string, name_id {kinds[1]}, name string, score double")
     matches = broadcast_within(scored.where(F.col("score") >= threshold))
-    best = F.min_by("window", F.struct(-F.col("score"), "window"))
-    return held.join(matches, "window").groupBy("doc_id", "name_id", "name").agg(
-        F.sum("times").alias("hits"), F.max("score").alias("score"), best.alias("best")
-    )
+    return held.join(matches, "window").groupBy("doc_id", "name_id", "name").agg(*totals)

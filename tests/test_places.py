@@ -103,3 +103,23 @@ def test_nothing_in_nothing_out(spark):
     assert P.place_names(none, names).count() == 0
     assert P.place_names(spark.createDataFrame(MESSAGES, "doc_id long, text string"), names.where("name_id > 99")).count() == 0
     assert np.any(P.known(np.full(1 << 22, 255, np.uint8), np.array([5], np.uint64)))
+
+
+@pytest.mark.parametrize("threshold", [70, 85])
+def test_an_index_too_large_to_go_along_gives_the_same(spark, monkeypatch, threshold):
+    messages, names = spark.createDataFrame(MESSAGES, "doc_id long, text string"), spark.createDataFrame(NAMES, "name_id int, name string")
+    small = P.place_names(messages, names, threshold=threshold)
+    assert "window" not in small.columns and "windows-" not in "".join(small.inputFiles())  # no window but a match leaves a task
+    monkeypatch.setattr(P, "INDEX_KEYS", 0)
+    large = P.place_names(messages, names, threshold=threshold)
+    assert "windows-" in "".join(large.inputFiles())
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
+def test_character_counts_bound_the_edits():
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdeü 1", k=rng.randint(1, 20))) for _ in range(200)]
+    counts = P.class_counts(texts)
+    for i, a in enumerate(texts):
+        for j in rng.sample(range(200), 20):
+            assert np.abs(counts[i] - counts[j]).sum() <= len(a) + len(texts[j]) - 2 * lcs(a, texts[j])
